@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = [importlib.import_module(f"folioscope.llm.p{n}") for n in (2, 5)]
+MODULES = [importlib.import_module(f"folioscope.llm.p{n}") for n in (2, 5, 6)]
 
 
 def queries() -> dict:
