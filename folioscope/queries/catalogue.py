@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import p3
+from folioscope.queries import p3, scalars, segments
 
-MODULES = [p3]
+MODULES = [p3, scalars, segments]
 
 
 def queries() -> dict:
