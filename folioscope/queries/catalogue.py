@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import p3, scalars, segments
+from folioscope.queries import p3, scalars, segments, statistics, stores
 
-MODULES = [p3, scalars, segments]
+MODULES = [p3, statistics, stores, scalars, segments]
 
 
 def queries() -> dict:
