@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import p3, scalars, segments, statistics, stores
+from folioscope.queries import agreement, p3, scalars, segments, statistics, stores
 
-MODULES = [p3, statistics, stores, scalars, segments]
+MODULES = [p3, statistics, stores, agreement, scalars, segments]
 
 
 def queries() -> dict:

@@ -128,11 +128,11 @@ DISCRIMINATE = f"WITH {_BASE}, {_FISHER.format(tab='tab', ties='kind, grp, featu
 
 
 def discriminate_report(s, d):
-    out = T.report(T.discriminate(features_bool(s, d), members(s, d), KEY), "kind", 0.5, 5, ["grp", "feature"])
+    out = T.report(T.discriminate(features_bool(s, d), members(s, d), KEY), "kind", 1.1, 5, ["grp", "feature"])
     return out.select("kind", "rank", "grp", "feature", F.round("q_value", 7).alias("q_value"))
 
 
-REPORT = f"WITH {_BASE}, {_FISHER.format(tab='tab', ties='kind, grp, feature')} SELECT kind, rank, grp, feature, round(q_value, 7) AS q_value FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY q_value, p_value, grp, feature) AS rank FROM qv WHERE q_value < 0.5) WHERE rank <= 5"
+REPORT = f"WITH {_BASE}, {_FISHER.format(tab='tab', ties='kind, grp, feature')} SELECT kind, rank, grp, feature, round(q_value, 7) AS q_value FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY q_value, p_value, grp, feature) AS rank FROM qv WHERE q_value < 1.1) WHERE rank <= 5"
 
 
 def feature_pair_tests(s, d):
