@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import agreement, p3, scalars, segments, statistics, stores
+from folioscope.queries import agreement, networks, p3, scalars, segments, statistics, stores, vectors
 
-MODULES = [p3, statistics, stores, agreement, scalars, segments]
+MODULES = [p3, statistics, stores, agreement, networks, scalars, segments, vectors]
 
 
 def queries() -> dict:
