@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import agreement, networks, p3, scalars, segments, statistics, stores, vectors
+from folioscope.queries import agreement, extraction, networks, p3, scalars, segments, statistics, stores, vectors
 
-MODULES = [p3, statistics, stores, agreement, networks, scalars, segments, vectors]
+MODULES = [p3, statistics, stores, agreement, networks, scalars, segments, vectors, extraction]
 
 
 def queries() -> dict:
