@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.runtime import Workspace
@@ -23,15 +23,31 @@ DEPENDENT = 0.25
 JOINT = 3
 
 
+#: Labels of a set that fit into the bits of one number.
+BITS = 62
+
+
 @dataclass
 class Question:
-    """One thing that annotators answer: a field with its possible values, or one label of a list field."""
+    """One thing that annotators answer: a field with its possible values, or one label of a set field (values false, true)."""
 
     name: str
     field: str
     values: list[str]
 
 
+@dataclass(frozen=True)
+class Scale:
+    """A field of the votes: one of `labels`, or, where `many`, any set of them."""
+
+    field: str
+    labels: tuple[str, ...]
+    many: bool = False
+
+    def questions(self) -> list[Question]:
+        return [Question(f"{self.field}:{x}", self.field, ["false", "true"]) for x in self.labels] if self.many else [Question(self.field, self.field, list(self.labels))]
+
+
 class Model:
     """Confusion matrices: for each question and witness the chance of each answer given each true value.
 
@@ -206,48 +222,88 @@ def _witnesses(patterns: DataFrame, model: Model) -> list[list[int]]:
     return [[i for i in range(a) if group[i] == g] for g in sorted(set(group))]
 
 
-def consensus(votes: DataFrame, questions: list[Question], least: int = 3, rounds: int = 60, close: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(labels, reliability, agreement, dependence) from votes (item, question, annotator, value).
+def _code(scale: Scale) -> Column:
+    """The column `value` as numbers: 1 + its place on the scale, or the bits of a set; null where it doesn't fit the scale."""
+    table = F.create_map(*[F.lit(x) for i, v in enumerate(scale.labels) for x in (v, i)])
+    places = F.transform("value", lambda x: F.try_element_at(table, x))
+    fits = F.col("value").isNotNull() & ~F.exists(places, lambda x: x.isNull())
+    if not scale.many:
+        return F.when(fits & (F.size("value") == 1), F.array((places[0] + 1).cast("bigint")))
+
+    def bits(i: int) -> Column:
+        mine = F.filter(F.array_distinct(places), lambda x: x.between(i, i + BITS - 1))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda s, x: s + F.pow(F.lit(2.0), x - i).cast("bigint"))
+
+    return F.when(fits, F.array(*[bits(i) for i in range(0, len(scale.labels), BITS)]))
+
+
+def consensus(votes: DataFrame, scales: list[Scale], least: int = 3, rounds: int = 60, close: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(labels, reliability, agreement, dependence) from votes (item, field, annotator, value array).
 
-    `item` is any one column, `question` and `value` are names known from `questions`. Items with fewer
-    than `least` annotators are left out. Label posteriors and the confusion matrix of every annotator
-    are estimated by expectation-maximisation with smoothing; annotators whose errors go together given
-    the truth are estimated as one joint witness, so a copy of an annotator adds no weight. Items with
-    the same answers are one pattern with a count, so an iteration costs the number of patterns; only
-    expected counts, as many as there are parameters, come to the driver, and their number is checked.
-    Agreement (Krippendorff's alpha, nominal) is computed from the votes alone, apart from the model.
+    `item` is any one column; value holds one label of the field's scale, or a set of labels. Items with
+    fewer than `least` annotators are left out. Label posteriors and the confusion matrix of every
+    annotator are estimated by expectation-maximisation with smoothing, each label of a set as a question
+    of its own; annotators whose errors go together given the truth are estimated as one joint witness,
+    so a copy of an annotator adds no weight. Items with the same answers are one pattern with a count, so
+    an iteration costs the number of patterns; only expected counts, as many as there are parameters, come
+    to the driver, and their number is checked. Agreement (Krippendorff's alpha, nominal) is computed from
+    the votes alone, apart from the model.
 
-    Defined cases: votes with a null or unknown value or question are not votes; of several votes of an
-    annotator on one question of an item the greatest value counts; ties of the posterior go to the
-    value declared first; an empty input gives empty tables. Other columns are ignored.
+    Defined cases: a null value, a label outside the scale, an unknown field and a null annotator make no
+    vote; an empty set is a vote; of several votes of an annotator on one field of an item the one with
+    the greatest code counts; ties of the posterior go to the label declared first; an empty input gives
+    empty tables. Other columns are ignored.
     """
     spark = votes.sparkSession
     space = Workspace(spark, "consensus")
-    number = {q.name: k for k, q in enumerate(questions)}
-    code = {(q.name, v): i + 1 for q in questions for i, v in enumerate(q.values)}
-    if not number:
-        raise ValueError("no questions")
-    lookup = spark.createDataFrame([(n, v, number[n], c) for (n, v), c in code.items()], "question string, value string, q int, code int")
-    known = space.keep(votes.join(F.broadcast(lookup), ["question", "value"]).groupBy("item", "q", "annotator").agg(F.max(F.struct("value", "code")).alias("_v")).select("item", "q", "annotator", F.col("_v.code").alias("code")))
-    annotators = [r[0] for r in known.select("annotator").distinct().orderBy("annotator").limit(10_001).collect()]
+    if max((len(s.labels) for s in scales if not s.many), default=0) > 200:
+        raise ValueError("a scale has more than 200 labels")
+    if not scales:
+        raise ValueError("no scales")
+    parts: list[Scale] = []
+    for scale in scales:
+        step = BITS if scale.many else max(1, len(scale.labels))
+        parts += [Scale(scale.field, scale.labels[i : i + step], scale.many) for i in range(0, len(scale.labels), step)]
+    questions, first = [], []
+    for part in parts:
+        first.append(len(questions))
+        questions += part.questions()
+    # the value as a number: 1 + its place on the scale, or the bits of a set
+    code = None
+    for scale in scales:
+        value = _code(scale)
+        code = F.when(F.col("field") == scale.field, value) if code is None else code.when(F.col("field") == scale.field, value)
+    coded = votes.filter(F.col("annotator").isNotNull()).select("item", "field", "annotator", F.explode(F.array(F.struct(code.alias("c")))).alias("x")).filter("x.c IS NOT NULL").select("item", "field", "annotator", F.col("x.c").alias("c"))
+    coded = space.keep(coded)
+    annotators = [r[0] for r in coded.select("annotator").distinct().orderBy("annotator").limit(10_001).collect()]
     if len(annotators) > 10_000:
         raise ValueError("more than 10,000 annotators")
-    index = spark.createDataFrame([(a, i) for i, a in enumerate(annotators)], known.select("annotator").schema.simpleString()[7:-1] + ", a int") if annotators else None
+    kind = coded.schema["annotator"].dataType.simpleString()
     width = len(annotators)
     if not width:
-        empty = known.limit(0)
+        item = coded.limit(0).select("item")
         return (
-            empty.select("item", F.lit("").alias("question"), F.lit("").alias("value"), F.lit(0.0).alias("posterior"), F.lit(0).alias("annotators")),
-            empty.select("annotator", F.lit("").alias("question"), F.lit(0.0).alias("votes"), F.lit(0.0).alias("accuracy"), F.lit(0.0).alias("informedness")),
-            empty.select(F.lit("").alias("field"), F.lit(0.0).alias("alpha"), F.lit(0.0).alias("observed"), F.lit(0.0).alias("units")),
-            empty.select(F.lit("").alias("a"), F.lit("").alias("b")),
+            item.select("item", F.lit("").alias("question"), F.lit("").alias("value"), F.lit(0.0).alias("posterior"), F.lit(0).alias("annotators")),
+            spark.createDataFrame([], f"annotator {kind}, question string, votes double, accuracy double, informedness double"),
+            spark.createDataFrame([], "field string, question string, alpha double, observed double, chance double, items double"),
+            spark.createDataFrame([], "annotator string, witness string"),
         )
-    coded = known.join(F.broadcast(index), "annotator")
-    # the answers of one item to one question as a string of bytes, a byte per annotator
-    answers = F.map_from_entries(F.collect_list(F.struct(F.col("a"), F.col("code"))))
-    per_item = coded.groupBy("item", "q").agg(answers.alias("m"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("bigint")), 2, "0")), "")
-    items = space.keep(per_item.select("item", "q", F.unhex(text).alias("pattern"), F.col("k").alias("annotators")))
+    index = spark.createDataFrame([(x, i) for i, x in enumerate(annotators)], f"annotator {kind}, a int")
+    per_item = coded.join(F.broadcast(index), "annotator").groupBy("item", "field").agg(F.collect_list(F.struct("a", "c")).alias("v"))
+    asked = F.array_distinct(F.transform("v", lambda x: x["a"]))
+    per_item = per_item.withColumn("k", F.size(asked)).filter(F.col("k") >= least)
+    # one row per question: a byte per annotator, 0 for no answer; the votes of an item are grouped once, its labels are made here
+    ask = None
+    for scale in scales:
+        mine = [(i, p) for i, p in enumerate(parts) if p.field == scale.field]
+        rows = F.array(*[F.struct(F.lit(first[i] + j).alias("q"), F.lit(n).alias("part"), F.lit(j if p.many else -1).alias("bit")) for n, (i, p) in enumerate(mine) for j in range(len(p.labels) if p.many else 1)])
+        ask = F.when(F.col("field") == scale.field, rows) if ask is None else ask.when(F.col("field") == scale.field, rows)
+    latest = F.map_from_entries(F.transform(asked, lambda a: F.struct(a.alias("key"), F.array_max(F.transform(F.filter("v", lambda x: x["a"] == a), lambda x: x["c"])).alias("value"))))
+    spread = per_item.select("item", "k", F.explode(F.array(latest)).alias("m"), ask.alias("ask")).select("item", "k", "m", F.inline("ask"))
+    said = lambda i: F.try_element_at("m", i)[F.col("part")]
+    answer = lambda i: F.when(F.col("bit") < 0, said(i)).otherwise(said(i).bitwiseAND(F.expr("shiftleft(1L, greatest(bit, 0))")).cast("boolean").cast("bigint") + 1)
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.lpad(F.hex(F.coalesce(answer(i), F.lit(0)).cast("bigint")), 2, "0")), "")
+    items = space.keep(spread.select("item", "q", F.unhex(text).alias("pattern"), F.col("k").alias("annotators")))
     patterns = space.keep(items.groupBy("q", "pattern").agg(F.count(F.lit(1)).alias("n")))
     model = Model(questions, width, [[i] for i in range(width)])
     _start(patterns, model)
@@ -282,7 +338,6 @@ def consensus(votes: DataFrame, questions: list[Question], least: int = 3, round
                     rows[(q, a)] = rows.get((q, a), 0) + table
         yield pd.DataFrame([(names[q], annotators[a], questions[q].values[v], questions[q].values[s], float(t[v, s])) for (q, a), t in rows.items() for v in range(len(t)) for s in range(len(t))], columns=["question", "annotator", "truth", "said", "n"])
 
-    kind = known.schema["annotator"].dataType.simpleString()
     matrices = space.keep(patterns.mapInPandas(confusion, f"question string, annotator {kind}, truth string, said string, n double").groupBy("question", "annotator", "truth", "said").agg(F.sum("n").alias("n")))
     rows = matrices.groupBy("question", "annotator", "truth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("truth") == F.col("said"), F.col("n")).otherwise(0.0)).alias("good"))
     reliability = rows.groupBy("annotator", "question").agg(F.sum("n").alias("votes"), (F.sum("good") / F.nullif(F.sum("n"), F.lit(0.0))).alias("accuracy"), (F.avg(F.col("good") / F.nullif(F.col("n"), F.lit(0.0)))).alias("informedness"))

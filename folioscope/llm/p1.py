@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.values import name_key
-from folioscope.llm.consensus import Question, consensus
+from folioscope.llm.consensus import Scale, consensus
 from folioscope.operators.wide import Attribute, declared, latest
-from folioscope.runtime import Workspace, read
+from folioscope.runtime import read
 
 TASK, VERSION = "passage-content", 2
 ITEM = ["_id", "scheme", "seq", "field"]
@@ -25,31 +25,18 @@ def readable(spark: SparkSession, d: str) -> tuple[DataFrame, list[Attribute]]:
         key = "".join(ch for ch in a.name.lower() if ch.isalnum())
         value = a.parse(F.col("value"))
         value = F.array(value.cast("string")) if a.kind != "list" else value
-        value = F.when(~F.exists(value, lambda x: x.isNull()), value)
         parsed = F.when(F.col("f") == key, value) if parsed is None else parsed.when(F.col("f") == key, value)
         field = F.when(F.col("f") == key, a.name) if field is None else field.when(F.col("f") == key, a.name)
-    votes = last.select("_id", "scheme", "seq", field.alias("field"), "annotator", parsed.alias("value")).filter("field IS NOT NULL AND value IS NOT NULL")
-    return votes, attributes
+    # behind a generator, so that a value is read once
+    read_once = F.explode(F.array(F.struct(parsed.alias("value")))).alias("p")
+    votes = last.select("_id", "scheme", "seq", field.alias("field"), "annotator", read_once).select("_id", "scheme", "seq", "field", "annotator", F.col("p.value").alias("value"))
+    return votes.filter("field IS NOT NULL AND value IS NOT NULL"), attributes
 
 
 def _consensus(spark: SparkSession, d: str):
-    space = Workspace(spark, "votes")
     votes, attributes = readable(spark, d)
-    votes = space.keep(votes)
-    questions, sets = [], []
-    for a in attributes:
-        if a.kind == "list":
-            sets.append(a)
-            questions += [Question(f"{a.name}:{v}", a.name, ["false", "true"]) for v in a.vocabulary]
-        else:
-            questions.append(Question(a.name, a.name, ["false", "true"] if a.kind == "bool" else list(a.vocabulary)))
-    item = F.struct(*ITEM).alias("item")
-    plain = votes.filter(~F.col("field").isin([a.name for a in sets])).select(item, F.col("field").alias("question"), "annotator", F.col("value")[0].alias("value"))
-    for a in sets:
-        each = F.explode(F.array(*[F.lit(v) for v in a.vocabulary])).alias("label")
-        asked = votes.filter(F.col("field") == a.name).select(item, "annotator", "value", each)
-        plain = plain.unionByName(asked.select("item", F.concat(F.lit(a.name + ":"), "label").alias("question"), "annotator", F.array_contains("value", F.col("label")).cast("string").alias("value")))
-    return consensus(plain, questions), sets
+    scales = [Scale(a.name, ("false", "true") if a.kind == "bool" else a.vocabulary, a.kind == "list") for a in attributes]
+    return consensus(votes.select(F.struct(*ITEM).alias("item"), "field", "annotator", "value"), scales), [a for a in attributes if a.kind == "list"]
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
