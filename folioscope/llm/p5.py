@@ -11,14 +11,14 @@ from folioscope.runtime import Workspace, read, small
 #: Headings that name nobody, after case and blanks.
 NAMELESS = ["", "-", "?", "??", "n/a", "na", "none", "null", "nil", "anon", "anon.", "anonymous", "anonym", "anonyme", "anonimo", "anónimo", "unknown", "unbekannt", "inconnu", "desconocido", "various", "n.n.", "s.n.", "[anon]", "[anon.]", "[anonymous]"]
 #: Sorts after every work id, so that the smallest member of a group is a work.
-_ENTITY = "￿"
+_ENTITY = "\uffff"
 #: Groups with at least this share of all records are placed one by one; there can be at most 1 / BIG of them.
 BIG = 0.001
 
 
 def headings(author: Column) -> Column:
     """The author headings of a work: split at `;`, without outer blanks and case, those that name nobody left out."""
-    parts = F.transform(F.split(F.coalesce(author, F.lit("")), ";"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[\s ]+|[\s ]+$", ""))))
+    parts = F.transform(F.split(F.coalesce(author, F.lit("")), ";"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+$", ""))))
     return F.array_distinct(F.filter(parts, lambda x: ~x.isin(NAMELESS) & x.rlike(r"\p{L}")))
 
 
