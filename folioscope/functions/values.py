@@ -19,7 +19,7 @@ def name_key(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Trimmed, each run of white space as one blank."""
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\x{A0}]+", " "))
 
 
 def as_bool(c: Column) -> Column:

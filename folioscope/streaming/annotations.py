@@ -47,12 +47,12 @@ def running_register(mentions: DataFrame, graph: str = "graph_id") -> DataFrame:
     kind = mentions.schema[graph].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0].split("")) if state.exists else set()
+        seen = set(state.get[0].split("\x01")) if state.exists else set()
         last = None
         for f in frames:
             seen |= set(f["id"].dropna())
             last = f["id"].iloc[-1]
-        state.update(("".join(sorted(x for x in seen if x)),))
+        state.update(("\x01".join(sorted(x for x in seen if x)),))
         yield pd.DataFrame({graph: [key[0]], "n_characters": [len({x for x in seen if x})], "last": [last]})
 
     return mentions.groupBy(graph).applyInPandasWithState(step, f"{graph} {kind}, n_characters int, last string", "seen string", "update", GroupStateTimeout.NoTimeout)
