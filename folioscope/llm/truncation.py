@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from folioscope.runtime import Workspace, small
 
 #: What a cut may leave behind: a broken character, entity, tag or escape, a hyphen, an ellipsis added by the exporter.
-RESIDUE = r"(?:�+|&[#\p{L}\p{N}]{0,8}|<[^<>]{0,40}|\\\\[a-z0-9]{0,5}|%[0-9A-Fa-f]?|(?<=[\p{L}\p{N}])[-­]|\s*\.\.\.)$"
+RESIDUE = r"(?:�+|&[#\p{L}\p{N}]{0,8}|<[^<>]{0,40}|\\[a-z0-9]{0,5}|%[0-9A-Fa-f]?|(?<=[\p{L}\p{N}])[-­]|\s*\.\.\.)$"
+#: Residues that no writer leaves: they prove a cut by themselves.
+BROKEN = r"^(?:�+|&(?:#\d*|[a-z]{2,8})?|\\u[0-9a-f]{0,4})$"
+#: As many other places, mostly ends, make a last capitalised word after its two predecessors a customary closing.
+CLOSING = 4
 #: Words that printers set in capitals at an end; other words in capitals are one class.
 END_WORDS = ["THE", "END", "FINIS", "FIN", "FINE", "ENDE", "EXPLICIT", "AMEN"]
 TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*|\n[ \t]*\n\s*|\n|\.\.\.|[^\s\p{L}\p{N}\"“”«»‘„]"
@@ -53,14 +57,20 @@ def _keys(layout: Column, a: Column, b: Column, c: Column) -> list[Column]:
     return [F.xxhash64(layout, a, b, c), F.xxhash64(layout, b, c), F.xxhash64(layout, c)]
 
 
+def _closing(a: Column, b: Column, c: Column, word: Column) -> Column:
+    """Hash of a trigram whose last word stands for itself rather than for its class; null where that is the same."""
+    return F.when(word != c, F.xxhash64(F.lit("itself"), a, b, word))
+
+
 def _sequences(texts: DataFrame, text: str) -> DataFrame:
-    """One row per token with the two before it and the one after it ('$' at the end, '^' before the start)."""
-    tokens = F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), _shape)
-    padded = F.concat(F.array(F.lit("^"), F.lit("^")), tokens, F.array(F.lit("$")))
-    # the generator keeps the optimizer from computing the tokens anew for each of their uses
-    rows = texts.select(_layout(F.col(text)).alias("layout"), F.explode(F.array(padded)).alias("p")).select("layout", "p", (F.size("p") - 3).alias("n"))
-    zipped = F.arrays_zip(F.slice("p", F.lit(1), F.col("n")).alias("a"), F.slice("p", F.lit(2), F.col("n")).alias("b"), F.slice("p", F.lit(3), F.col("n")).alias("c"), F.slice("p", F.lit(4), F.col("n")).alias("d"))
-    return rows.select("layout", F.inline(zipped)).toDF("layout", "a", "b", "c", "d")
+    """One row per token w with its class c, those of the two before it (a, b) and of the one after it (d): '$' at the end, '^' before the start."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
+    # generators keep the optimizer from computing the tokens anew for each of their uses
+    rows = texts.select(_layout(F.col(text)).alias("layout"), F.explode(F.array(tokens)).alias("t"))
+    pad = lambda t: F.concat(F.array(F.lit("^"), F.lit("^")), t, F.array(F.lit("$")))
+    rows = rows.select("layout", "t", F.explode(F.array(pad(F.transform("t", _shape)))).alias("p")).select("layout", "t", "p", F.size("t").alias("n"))
+    zipped = F.arrays_zip(F.slice("p", F.lit(1), F.col("n")).alias("a"), F.slice("p", F.lit(2), F.col("n")).alias("b"), F.slice("p", F.lit(3), F.col("n")).alias("c"), F.slice("p", F.lit(4), F.col("n")).alias("d"), F.col("t").alias("w"))
+    return rows.select("layout", F.inline(zipped)).toDF("layout", "a", "b", "c", "d", "w")
 
 
 def last_words(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -78,7 +88,7 @@ def last_words(documents: DataFrame, key: str, text: str, source: str) -> DataFr
     at = lambda i: F.when(F.size(t) >= i, F.try_element_at(t, F.lit(-i))).otherwise("^")
     out = frame.select("key", "source", "chars", "layout", F.trim("residue").alias("residue"), raw.alias("word"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c"))
     k3, k2, k1 = _keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c"))
-    return out.select("key", "source", "chars", "layout", "residue", "word", "c", k3.alias("k3"), k2.alias("k2"), k1.alias("k1"), F.xxhash64(1 - F.col("layout"), "c").alias("kx"))
+    return out.select("key", "source", "chars", "layout", "residue", "word", "c", k3.alias("k3"), k2.alias("k2"), k1.alias("k1"), F.xxhash64(1 - F.col("layout"), "c").alias("kx"), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("word")).alias("k4"))
 
 
 def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -88,8 +98,9 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     as classes; whatever a cut left behind taken off) are looked up among all places of all texts: how
     often they stand inside a line or sentence, and how often at the end of a line or text. A text whose
     last trigram is frequent inside but almost never at an end is cut off. Where a trigram is too rare
-    to tell, its last two tokens or its last one decide, and a small word that occurs nowhere but at the
-    end of a text or two is a piece of a word. Lined and running text are counted apart. Only sequences
+    to tell, its last two tokens or its last one decide, and a word that occurs nowhere but at ends of
+    texts, in ever other company, is a piece of a word. A capitalised last word counts for itself where it
+    often closes texts (a printer's closing). Lined and running text are counted apart. Only sequences
     that end some text are counted, so nothing but their counts is shuffled; their keys are broadcast
     only when the written table proves small. An ellipsis that an exporter adds after its cut is told
     from a writer's by the field limit of the source: a length at which texts of one source pile up.
@@ -101,28 +112,29 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     spark = documents.sparkSession
     space = Workspace(spark, "truncation")
     ends = space.keep(last_words(documents, key, text, source))
-    wanted = space.keep(ends.select(F.explode(F.array("k3", "k2", "k1", "kx")).alias("k")).distinct())
+    wanted = space.keep(ends.select(F.explode(F.array("k3", "k2", "k1", "kx", "k4")).alias("k")).filter("k IS NOT NULL").distinct())
     places = _sequences(documents.filter(F.col(text).isNotNull()).select(text), text)
     over = F.col("d").isin("$", "¶", "¶¶")
     mark = F.col("d").isin(".", ",", ";", ":", "!", "?", "…", "—", ")", "]")
-    keyed = places.select(F.explode(F.array(*_keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c")))).alias("k"), F.when(over, F.when(F.col("d") == "$", 3).otherwise(2)).when(mark, 1).when(F.col("d").isin("\ufffd", "-", "...", "&", "<"), -1).otherwise(0).alias("next"))
+    keyed = places.select(F.explode(F.array(*_keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c")), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("w")))).alias("k"), F.when(over, F.when(F.col("d") == "$", 3).otherwise(2)).when(mark, 1).when(F.col("d").isin("\ufffd", "-", "...", "&", "<"), -1).otherwise(0).alias("next"))
     counted = keyed.join(small(wanted, limit=128 << 20, inflate=3), "k").groupBy("k").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("next") >= 2).alias("over"), F.count_if(F.col("next").isin(3, -1)).alias("last"), F.count_if(F.col("next") >= 1).alias("paused")
     )
     counts = space.keep(counted)
     joined = ends
-    for k in ("k3", "k2", "k1", "kx"):
+    for k in ("k3", "k2", "k1", "kx", "k4"):
         joined = joined.join(small(counts).select(F.col("k").alias(k), F.struct("n", "over", "last", "paused").alias(f"c{k[1]}")), k, "left")
     # the place of the text itself isn't evidence; after taking off a residue it wasn't counted as an end
     own = F.when(F.col("residue") == "", 1).otherwise(0)
-    n = {i: F.coalesce(F.col(f"c{i}.n"), F.lit(0)) for i in "321x"}
-    over_ = {i: F.coalesce(F.col(f"c{i}.over"), F.lit(0)) for i in "321x"}
+    n = {i: F.coalesce(F.col(f"c{i}.n"), F.lit(0)) for i in "321x4"}
+    over_ = {i: F.coalesce(F.col(f"c{i}.over"), F.lit(0)) for i in "321x4"}
     verdict = None
     for i in "321":
         rests = (n[i] - own >= ENOUGH) if i != "1" else (n[i] - own >= 1)
         ended = (over_[i] - own) / F.greatest(n[i] - own, F.lit(1))
         verdict = F.when(rests, ended < ENDS) if verdict is None else verdict.when(rests, ended < ENDS)
-    verdict = verdict.otherwise(F.lit(False))
+    closing = (n["4"] - own >= CLOSING) & ((over_["4"] - own) * 2 >= n["4"] - own)
+    verdict = F.when(closing, F.lit(False)).otherwise(verdict.otherwise(F.lit(False)))
     word = F.col("word").rlike(r"^[\p{Ll}’']+$")
     everywhere = n["1"] + n["x"]
     stray = F.coalesce(F.col("c1.last"), F.lit(0)) + F.coalesce(F.col("cx.last"), F.lit(0))
@@ -137,5 +149,6 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     limits = lengths.withColumn("around", F.sum("same").over(near)).filter((F.col("same") >= 4) & (F.col("same") * 4 >= F.col("around"))).select("source", "chars", F.lit(True).alias("limit"))
     judged = joined.withColumn("docs", F.lit(total)).join(limits, (joined["source"].eqNullSafe(limits["source"])) & (joined["chars"] == limits["chars"]), "left").drop(limits["source"]).drop(limits["chars"])
     dots = F.col("residue") == "..."
-    cut = F.when(dots, F.coalesce("limit", F.lit(False)) | piece | held).otherwise(piece | verdict)
+    broken = F.lower("residue").rlike(BROKEN)
+    cut = F.when(broken, F.lit(True)).when(dots, F.coalesce("limit", F.lit(False)) | piece | held).otherwise(piece | verdict)
     return judged.select(F.col("key").alias(key), "source", F.coalesce(cut, F.lit(False)).alias("cut"))

@@ -48,8 +48,11 @@ def test_added_ellipsis_at_a_field_limit(spark, corpus):
         text = " ".join(sentence(rng) for _ in range(9))
         rows.append((2000 + i, text[:297] + "...", "limited", True))
         rows.append((3000 + i, f"{sentence(rng)} At length, my aunt found {rng.choice(OBJECTS)}…", "writer", True))
+        rows.append((4000 + i, f"{sentence(rng)}\n\nLaus Deo", "printer", True))
+        rows.append((4500 + i, f"{sentence(rng)} &quo", "feed", True))
     out = {r.doc_id: r.cut for r in cut_off(spark.createDataFrame(rows, "doc_id int, text string, source string, cut boolean")).collect()}
     assert sum(out[2000 + i] for i in range(40)) >= 36 and sum(out[3000 + i] for i in range(40)) == 0
+    assert not any(out[4000 + i] for i in range(40)) and all(out[4500 + i] for i in range(40))
 
 
 def test_defined_cases(spark, corpus):
