@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.runtime import Workspace
+
 # fixed values: verbs of each kind of event ('executed' counts in two)
 MACRO = {
     "violence": ["killed", "murdered", "died", "executed", "fought", "dueled", "attacked", "poisoned", "wounded", "assassinated", "stabbed"],
@@ -190,6 +192,8 @@ def profile(edges: DataFrame, nodes: DataFrame, is_directed: bool = False) -> Da
     """One row per graph with all measures; diameter and mean path only where the whole graph is connected."""
     from folioscope.operators.stats import gini
 
+    space = Workspace(edges.sparkSession, "profile")
+    edges, nodes = space.keep(edges.select("graph_id", "a", "b")), space.keep(nodes.select("graph_id", "id").distinct())
     k = degrees(simple(edges), nodes)
     p = paths(edges, nodes)
     top = p.groupBy("graph_id").agg(F.max("betweenness").alias("max_betweenness"), F.avg("betweenness").alias("mean_betweenness"), F.first("n_components").alias("components"), F.first("largest").alias("largest"), F.first("diameter").alias("diameter"), F.first("mean_path").alias("mean_path"))

@@ -16,11 +16,23 @@ def exact(a, b, c, d):
 def test_fisher_against_fractions(spark):
     rng = random.Random(3)
     tables = [tuple(rng.randrange(0, 40) for _ in range(4)) for _ in range(60)] + [(0, 5, 0, 5), (0, 0, 3, 4), (0, 0, 0, 0)]
-    out = T.fisher(spark.createDataFrame(tables, "a bigint, b bigint, c bigint, d bigint"), 200).collect()
+    out = T.fisher(spark.createDataFrame(tables, "a bigint, b bigint, c bigint, d bigint")).collect()
     for r in out:
         assert math.isclose(r.p_value, exact(r.a, r.b, r.c, r.d), rel_tol=1e-6)
 
 
+def test_fisher_of_large_tables():
+    whole = T.exact_p(30_050, 29_950, 30_000, 30_000)
+    steps, T.STEPS = T.STEPS, 10
+    try:
+        assert math.isclose(T.exact_p(30_050, 29_950, 30_000, 30_000), whole, rel_tol=1e-9)
+        assert T.exact_p(900, 10, 20, 5000) < 1e-300 or T.exact_p(900, 10, 20, 5000) >= 0
+    finally:
+        T.STEPS = steps
+    big = 2_000_000_000
+    assert math.isclose(T.exact_p(big, big, big, big), 1.0, rel_tol=1e-6)
+
+
 def test_benjamini_hochberg(spark):
     p = [0.01, 0.04, 0.03, 0.04, None, 0.9]
     out = {r.i: r.q for r in T.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "i int, p double"), "p", ["i"]).select("i", F.col("q_value").alias("q")).collect()}
