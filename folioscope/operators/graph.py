@@ -123,69 +123,94 @@ def basics(edges: DataFrame, nodes: DataFrame, is_directed: bool = False) -> Dat
     return out.join(mutual, "graph_id", "left").withColumn("reciprocity", F.coalesce(F.coalesce("m", F.lit(0)) / F.nullif("n_edges", F.lit(0)), F.lit(0.0))).drop("m")
 
 
-def _paths(adjacency: list[list[int]]) -> tuple[np.ndarray, list[int], int, float, int]:
-    """Betweenness (normalised), component of each node, and diameter, mean distance and size of the largest component."""
+def _from(adjacency: list[list[int]], sources: Sequence[int]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Unscaled betweenness that paths from `sources` add to every node, and for each source the first node and size of its component, its greatest and its total distance."""
     n = len(adjacency)
-    between, component = np.zeros(n), [-1] * n
-    sums: dict[int, list[float]] = {}
-    for s in range(n):
-        order, parents = [], [[] for _ in range(n)]
-        sigma, dist = [0.0] * n, [-1] * n
-        sigma[s], dist[s] = 1.0, 0
+    between, seen = np.zeros(n), []
+    for s in sources:
+        order, parents = [], {s: []}
+        sigma, dist = {s: 1.0}, {s: 0}
         queue = deque([s])
         while queue:
             v = queue.popleft()
             order.append(v)
             for w in adjacency[v]:
-                if dist[w] < 0:
-                    dist[w] = dist[v] + 1
+                if w not in dist:
+                    dist[w], sigma[w], parents[w] = dist[v] + 1, 0.0, []
                     queue.append(w)
                 if dist[w] == dist[v] + 1:
                     sigma[w] += sigma[v]
                     parents[w].append(v)
-        if component[s] < 0:
-            for v in order:
-                component[v] = s
-        c = sums.setdefault(component[s], [0, 0.0, 0])
-        c[0] = max(c[0], dist[order[-1]])
-        c[1] += sum(dist[v] for v in order)
-        c[2] = len(order)
-        delta = [0.0] * n
+        seen.append((min(order), len(order), dist[order[-1]], sum(dist.values())))
+        delta = dict.fromkeys(order, 0.0)
         for w in reversed(order):
             for v in parents[w]:
                 delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
             if w != s:
                 between[w] += delta[w]
-    if n > 2:
-        between /= (n - 1) * (n - 2)
-    big = max(sums, key=lambda c: (sums[c][2], -c)) if sums else -1
-    diameter, total, size = sums.get(big, [0, 0.0, 0])
-    return between, component, diameter, total / (size * (size - 1)) if size > 1 else 0.0, size
+    return between, seen
+
+
+#: Sources of shortest paths that one task takes on; a larger graph is dealt to several.
+SOURCES = 256
+#: Nodes of small graphs that share a task, on average.
+BUCKET = 2_000
 
 
 def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, id, betweenness, component, n_components, largest, diameter, mean_path): all that needs shortest paths.
 
-    Betweenness needs every path of a graph at once, so each graph is one group; a graph is a work's cast.
-    diameter and mean_path are those of the largest component.
+    Paths from different sources are independent: each graph is dealt to as many tasks as it has blocks of
+    SOURCES nodes, each of which gets the graph's edges and adds up its own sources' share, so a work with
+    a very large cast doesn't wait for one task. diameter and mean_path are those of the largest component.
     """
     ids = nodes.select("graph_id", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).distinct()
-    rows = ids.unionByName(simple(edges).select("graph_id", "a", "b"))
+    blocks = ids.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("blocks"))
+    rows = ids.unionByName(simple(edges).select("graph_id", "a", "b")).join(blocks, "graph_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     kind = nodes.schema["graph_id"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(frame.loc[frame["b"].isna(), "a"])
-        at = {x: i for i, x in enumerate(names)}
-        adjacency: list[list[int]] = [[] for _ in names]
-        links = frame[frame["b"].notna()].sort_values(["a", "b"])
-        for x, y in zip(links["a"], links["b"]):
-            if x in at and y in at:
-                adjacency[at[x]].append(at[y])
-                adjacency[at[y]].append(at[x])
-        between, component, diameter, mean, size = _paths(adjacency)
-        return pd.DataFrame({"graph_id": frame["graph_id"].iloc[0], "id": names, "betweenness": between, "component": [names[c] for c in component], "n_components": len(set(component)), "largest": size, "diameter": diameter, "mean_path": mean})
-
-    return rows.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, id string, betweenness double, component string, n_components int, largest int, diameter int, mean_path double")
+        graphs: dict[tuple, tuple[list[str], list[tuple[str, str]]]] = {}
+        for g, block, blocks, x, y in zip(frame["graph_id"], frame["block"], frame["blocks"], frame["a"], frame["b"].where(frame["b"].notna(), None)):
+            names, links = graphs.setdefault((g, block, blocks), ([], []))
+            if y is None:
+                names.append(x)
+            else:
+                links.append((x, y))
+        out = []
+        for (g, block, blocks), (names, links) in graphs.items():
+            names.sort()
+            at = {x: i for i, x in enumerate(names)}
+            adjacency: list[list[int]] = [[] for _ in names]
+            for x, y in links:
+                if x in at and y in at:
+                    adjacency[at[x]].append(at[y])
+                    adjacency[at[y]].append(at[x])
+            sources = range(block, len(names), blocks)
+            between, seen = _from(adjacency, sources)
+            mine = dict(zip(sources, seen))
+            for i in sorted(set(np.flatnonzero(between).tolist()) | set(sources)):
+                c, z, e, t = mine.get(i, (-1, 0, 0, 0))
+                out.append((g, names[i], float(between[i]), names[c] if c >= 0 else None, z, e, t))
+        return pd.DataFrame(out, columns=["graph_id", "id", "share", "component", "size", "reach", "total"])
+
+    # small graphs share a task; what a task gets is bounded by the number of nodes in all
+    buckets = int(max(1, -(-(ids.count()) // BUCKET)))
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("graph_id", "block"), F.lit(buckets)))
+    parts = placed.groupBy("bucket").applyInPandas(run, f"graph_id {kind}, id string, share double, component string, size bigint, reach bigint, total bigint")
+    per = parts.groupBy("graph_id", "id").agg(F.sum("share").alias("share"), F.max("component").alias("component"), F.max("size").alias("size"), F.max("reach").alias("reach"), F.max("total").alias("total"))
+    every = Window.partitionBy("graph_id")
+    n = F.count(F.lit(1)).over(every)
+    best = F.min(F.struct(-F.col("size"), F.col("component"))).over(every)
+    first = (F.col("component") == F.col("id")).cast("int")
+    per = per.withColumns({"n": n, "best": best["component"], "n_components": F.sum(first).over(every).cast("int"), "largest": F.max("size").over(every).cast("int")})
+    inside = F.col("component") == F.col("best")
+    room = (F.col("n") - 1) * (F.col("n") - 2)
+    mean = F.sum(F.when(inside, F.col("total"))).over(every) / F.nullif(F.col("largest") * (F.col("largest") - 1), F.lit(0))
+    return per.select(
+        "graph_id", "id", F.when(F.col("n") > 2, F.col("share") / F.nullif(room, F.lit(0))).otherwise(F.col("share")).alias("betweenness"), "component", "n_components", "largest",
+        F.max(F.when(inside, F.col("reach"))).over(every).cast("int").alias("diameter"), F.coalesce(mean, F.lit(0.0)).alias("mean_path"),
+    )
 
 
 def profile(edges: DataFrame, nodes: DataFrame, is_directed: bool = False) -> DataFrame:

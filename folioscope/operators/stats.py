@@ -159,14 +159,16 @@ def exact_p(a: int, b: int, c: int, d: int) -> float:
     """
     r, k, n = a + b, a + c, a + b + c + d
     low, high = max(0, a - d), min(r, k)
-    xs = np.arange(low, high + 1)
-    if high - low > STEPS:
+    if high - low <= STEPS:
+        xs = np.arange(low, high + 1)
+    else:
         mean = r * k / n
         reach = 45 * math.sqrt(max(1.0, mean * (1 - k / n) * (n - r) / max(1, n - 1))) + 50
         near = [np.arange(max(low, int(z - reach)), min(high, int(z + reach)) + 1) for z in (mean, a)]
         xs = np.unique(np.concatenate(near))
-    fixed = _log_factorial(np.array([r, n - r, k, n - k])).sum() - _log_factorial(np.array([n]))[0]
-    lp = fixed - _log_factorial(xs) - _log_factorial(r - xs) - _log_factorial(k - xs) - _log_factorial(n - r - k + xs)
+    m = len(xs)
+    logs = _log_factorial(np.concatenate([xs, r - xs, k - xs, n - r - k + xs, [r, n - r, k, n - k, n]]))
+    lp = logs[4 * m : 4 * m + 4].sum() - logs[-1] - logs[: 4 * m].reshape(4, m).sum(0)
     seen = lp[np.searchsorted(xs, a)] + 1e-7
     return float(min(1.0, np.exp(lp[lp <= seen]).sum()))
 
@@ -182,7 +184,8 @@ def fisher(tables: DataFrame) -> DataFrame:
     def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([exact_p(*map(int, t)) for t in zip(a, b, c, d)], dtype=float)
 
-    return tables.withColumn("p_value", p("a", "b", "c", "d"))
+    # the tables are few and each is work: deal them out evenly, which adaptive coalescing wouldn't
+    return tables.repartition(tables.sparkSession.sparkContext.defaultParallelism).withColumn("p_value", p("a", "b", "c", "d"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, ties: Sequence[str]) -> DataFrame:

@@ -29,7 +29,8 @@ def brute(pairs, n):
     return [x / ((n - 1) * (n - 2)) for x in score]
 
 
-def test_betweenness_against_all_paths(spark):
+def test_betweenness_against_all_paths(spark, monkeypatch):
+    monkeypatch.setattr(G, "SOURCES", 3)
     rng = random.Random(4)
     for _ in range(3):
         n = 8
