@@ -90,7 +90,7 @@ def stars(pairs: DataFrame, a: str, b: str, name: str = "stars") -> DataFrame:
     """
     spark = pairs.sparkSession
     space = Workspace(spark, name)
-    ends = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull())
+    ends = space.keep(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u").isNotNull() & F.col("v").isNotNull()).distinct())
     nodes = space.keep(ends.select(F.explode(F.array("u", "v")).alias("member")).distinct())
     check = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")]
     edges, seen = space.keep(_clean(ends, "u", "v"), *check)

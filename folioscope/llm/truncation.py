@@ -146,8 +146,8 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     total = ends.count()
     near = Window.partitionBy("source").orderBy("chars").rangeBetween(-50, 50)
     lengths = ends.groupBy("source", "chars").agg(F.count(F.lit(1)).alias("same"))
-    limits = lengths.withColumn("around", F.sum("same").over(near)).filter((F.col("same") >= 4) & (F.col("same") * 4 >= F.col("around"))).select("source", "chars", F.lit(True).alias("limit"))
-    judged = joined.withColumn("docs", F.lit(total)).join(limits, (joined["source"].eqNullSafe(limits["source"])) & (joined["chars"] == limits["chars"]), "left").drop(limits["source"]).drop(limits["chars"])
+    limits = lengths.withColumn("around", F.sum("same").over(near)).filter((F.col("same") >= 4) & (F.col("same") * 4 >= F.col("around"))).select(F.col("source").alias("_s"), F.col("chars").alias("_c"), F.lit(True).alias("limit"))
+    judged = joined.withColumn("docs", F.lit(total)).join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("chars") == F.col("_c")), "left")
     dots = F.col("residue") == "..."
     broken = F.lower("residue").rlike(BROKEN)
     cut = F.when(broken, F.lit(True)).when(dots, F.coalesce("limit", F.lit(False)) | piece | held).otherwise(piece | verdict)

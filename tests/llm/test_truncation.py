@@ -36,7 +36,9 @@ def corpus():
 
 def test_finds_cut_texts(spark, corpus):
     rows, cut = corpus
-    out = {r.doc_id: r.cut for r in cut_off(spark.createDataFrame(rows, "doc_id int, text string, source string, cut boolean")).collect()}
+    judged = cut_off(spark.createDataFrame(rows, "doc_id int, text string, source string, cut boolean")).collect()
+    assert {(r.doc_id, r.source) for r in judged} == {(r[0], r[2]) for r in rows}
+    out = {r.doc_id: r.cut for r in judged}
     found = {i for i, c in out.items() if c}
     assert len(found & cut) / len(cut) > 0.9 and len(found - cut) <= 0.03 * len(found)
 
