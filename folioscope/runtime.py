@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,7 +57,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"folioscope-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
+    if not os.path.isdir(own):
+        os.makedirs(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return "file://" + own
 
 
@@ -70,7 +74,6 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, *metrics) -> DataFrame:
         """Write `df`, read it back; with `metrics` (aggregate columns with aliases) return (table, values)."""
@@ -79,10 +82,14 @@ class Workspace:
         seen = Observation() if metrics else None
         (df.observe(seen, *metrics) if metrics else df).write.mode("overwrite").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = path
         table._workspace_path = path
         return (table, seen.get) if metrics else table
 
+    def clear(self) -> None:
+        """Removes all tables of this workspace; for callers that have written the result elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             path = getattr(table, "_workspace_path", None)
