@@ -15,11 +15,15 @@ BROKEN = r"^(?:�+|&(?:#\d*|[a-z]{2,8})?|\\u[0-9a-f]{0,4})$"
 CLOSING = 4
 #: Words that printers set in capitals at an end; other words in capitals are one class.
 END_WORDS = ["THE", "END", "FINIS", "FIN", "FINE", "ENDE", "EXPLICIT", "AMEN"]
-TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*|\n[ \t]*\n\s*|\n|\.\.\.|[^\s\p{L}\p{N}\"“”«»‘„]"
+TOKEN = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+|\n[ \t]*\n\s*|\n|\.\.\.|[^\s\p{L}\p{N}\"“”«»‘„]"
 #: A statistic is used once it rests on this many other places; else the next shorter one.
 ENOUGH = 40
 #: Share of ends from which a sequence counts as one that ends something.
 ENDS = 0.02
+#: Share of full stops after a sequence from which a sentence may end there: its writer may have left out the stop.
+STOPS = 0.15
+#: Places from which a capitalised last word counts as known, and not as a piece of one.
+KNOWN = 20
 #: The same for one word anywhere, followed by an end or a mark, before an added ellipsis.
 PAUSES = 0.005
 
@@ -28,6 +32,12 @@ def _rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(" \t\n\r\f\v\u00a0\u200b"))
 
 
+def _words(text: Column) -> Column:
+    """Number of words, as one more than the blanks, line ends and paragraph ends between them (cheaper than splitting)."""
+    without = lambda a, b="": F.length(text) - F.length(F.replace(text, F.lit(a), F.lit(b)))
+    return without(" ") + without("\n") - without("\n\n", "\n") + 1
+
+
 def _shape(x: Column) -> Column:
     """Class of a token: words in capitals, capitalised words and numbers are classes, other tokens stand for themselves."""
     code = F.ascii(x)
@@ -62,6 +72,11 @@ def _closing(a: Column, b: Column, c: Column, word: Column) -> Column:
     return F.when(word != c, F.xxhash64(F.lit("itself"), a, b, word))
 
 
+def _itself(c: Column, word: Column) -> Column:
+    """Hash of a word that stands for a class, for itself; null for other tokens."""
+    return F.when(word != c, F.xxhash64(F.lit("word"), word))
+
+
 def _sequences(texts: DataFrame, text: str) -> DataFrame:
     """One row per token w with its class c, those of the two before it (a, b) and of the one after it (d): '$' at the end, '^' before the start."""
     tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
@@ -79,16 +94,16 @@ def last_words(documents: DataFrame, key: str, text: str, source: str) -> DataFr
     body = F.substring_index(_rstrip(F.col(text)), " ", -10)
     bare = _rstrip(F.regexp_replace(body, RESIDUE, ""))
     frame = documents.filter(F.col(text).rlike(r"\p{L}")).select(
-        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.length(text).alias("chars"),
+        F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.array(F.length(text), F.octet_length(text), _words(F.col(text))).alias("measures"),
         _layout(F.col(text)).alias("layout"), F.coalesce(F.nullif(F.regexp_extract(body, RESIDUE, 0), F.lit("")), F.lit("")).alias("residue"), bare.alias("bare"),
     )
     tail = F.regexp_extract_all(F.col("bare"), F.lit(TOKEN), F.lit(0))
     raw = F.try_element_at(tail, F.lit(-1))
     t = F.transform(tail, _shape)
     at = lambda i: F.when(F.size(t) >= i, F.try_element_at(t, F.lit(-i))).otherwise("^")
-    out = frame.select("key", "source", "chars", "layout", F.trim("residue").alias("residue"), raw.alias("word"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c"))
+    out = frame.select("key", "source", "measures", "layout", F.trim("residue").alias("residue"), raw.alias("word"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c"))
     k3, k2, k1 = _keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c"))
-    return out.select("key", "source", "chars", "layout", "residue", "word", "c", k3.alias("k3"), k2.alias("k2"), k1.alias("k1"), F.xxhash64(1 - F.col("layout"), "c").alias("kx"), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("word")).alias("k4"))
+    return out.select("key", "source", "measures", "layout", "residue", "word", "c", k3.alias("k3"), k2.alias("k2"), k1.alias("k1"), F.xxhash64(1 - F.col("layout"), "c").alias("kx"), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("word")).alias("k4"), _itself(F.col("c"), F.col("word")).alias("k5"))
 
 
 def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -103,7 +118,9 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     often closes texts (a printer's closing). Lined and running text are counted apart. Only sequences
     that end some text are counted, so nothing but their counts is shuffled; their keys are broadcast
     only when the written table proves small. An ellipsis that an exporter adds after its cut is told
-    from a writer's by the field limit of the source: a length at which texts of one source pile up.
+    from a writer's by the field limit of the source: a length at which texts of one source pile up. A
+    text that ends where sentences often stop, but without the stop, is taken for its writer's, unless it
+    fills such a field.
 
     Defined cases: null, empty and blank texts and texts without letters get no row; repeated rows are
     judged alike and kept; a null source is a source of its own; very short texts are judged by the
@@ -112,27 +129,29 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     spark = documents.sparkSession
     space = Workspace(spark, "truncation")
     ends = space.keep(last_words(documents, key, text, source))
-    wanted = space.keep(ends.select(F.explode(F.array("k3", "k2", "k1", "kx", "k4")).alias("k")).filter("k IS NOT NULL").distinct())
+    wanted = space.keep(ends.select(F.explode(F.array("k3", "k2", "k1", "kx", "k4", "k5")).alias("k")).filter("k IS NOT NULL").distinct())
     places = _sequences(documents.filter(F.col(text).isNotNull()).select(text), text)
     over = F.col("d").isin("$", "¶", "¶¶")
-    mark = F.col("d").isin(".", ",", ";", ":", "!", "?", "…", "—", ")", "]")
-    keyed = places.select(F.explode(F.array(*_keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c")), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("w")))).alias("k"), F.when(over, F.when(F.col("d") == "$", 3).otherwise(2)).when(mark, 1).when(F.col("d").isin("\ufffd", "-", "...", "&", "<"), -1).otherwise(0).alias("next"))
+    mark, stop = F.col("d").isin(",", ";", ":", "…", "—", ")", "]"), F.col("d").isin(".", "!", "?")
+    keyed = places.select(F.explode(F.array(*_keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c")), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("w")), _itself(F.col("c"), F.col("w")))).alias("k"), F.when(over, F.when(F.col("d") == "$", 4).otherwise(3)).when(stop, 2).when(mark, 1).when(F.col("d").isin("\ufffd", "-", "...", "&", "<"), -1).otherwise(0).alias("next"))
     counted = keyed.join(small(wanted, limit=128 << 20, inflate=3), "k").groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("next") >= 2).alias("over"), F.count_if(F.col("next").isin(3, -1)).alias("last"), F.count_if(F.col("next") >= 1).alias("paused")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("next") >= 3).alias("over"), F.count_if(F.col("next").isin(4, -1)).alias("last"), F.count_if(F.col("next") >= 1).alias("paused"), F.count_if(F.col("next") == 2).alias("stopped")
     )
     counts = space.keep(counted)
     joined = ends
-    for k in ("k3", "k2", "k1", "kx", "k4"):
-        joined = joined.join(small(counts).select(F.col("k").alias(k), F.struct("n", "over", "last", "paused").alias(f"c{k[1]}")), k, "left")
+    for k in ("k3", "k2", "k1", "kx", "k4", "k5"):
+        joined = joined.join(small(counts).select(F.col("k").alias(k), F.struct("n", "over", "last", "paused", "stopped").alias(f"c{k[1]}")), k, "left")
     # the place of the text itself isn't evidence; after taking off a residue it wasn't counted as an end
     own = F.when(F.col("residue") == "", 1).otherwise(0)
-    n = {i: F.coalesce(F.col(f"c{i}.n"), F.lit(0)) for i in "321x4"}
-    over_ = {i: F.coalesce(F.col(f"c{i}.over"), F.lit(0)) for i in "321x4"}
-    verdict = None
+    n = {i: F.coalesce(F.col(f"c{i}.n"), F.lit(0)) for i in "321x45"}
+    over_ = {i: F.coalesce(F.col(f"c{i}.over"), F.lit(0)) for i in "321x45"}
+    verdict = may_stop = None
     for i in "321":
         rests = (n[i] - own >= ENOUGH) if i != "1" else (n[i] - own >= 1)
         ended = (over_[i] - own) / F.greatest(n[i] - own, F.lit(1))
         verdict = F.when(rests, ended < ENDS) if verdict is None else verdict.when(rests, ended < ENDS)
+        stops = F.coalesce(F.col(f"c{i}.stopped"), F.lit(0)) / F.greatest(n[i] - own, F.lit(1)) >= STOPS
+        may_stop = F.when(rests, stops) if may_stop is None else may_stop.when(rests, stops)
     closing = (n["4"] - own >= CLOSING) & ((over_["4"] - own) * 2 >= n["4"] - own)
     verdict = F.when(closing, F.lit(False)).otherwise(verdict.otherwise(F.lit(False)))
     word = F.col("word").rlike(r"^[\p{Ll}’']+$")
@@ -144,11 +163,19 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     paused = F.coalesce(F.col("c1.paused"), F.lit(0)) + F.coalesce(F.col("cx.paused"), F.lit(0))
     held = (paused / F.greatest(everywhere, F.lit(1)) < PAUSES) & word
     total = ends.count()
-    near = Window.partitionBy("source").orderBy("chars").rangeBetween(-50, 50)
-    lengths = ends.groupBy("source", "chars").agg(F.count(F.lit(1)).alias("same"))
-    limits = lengths.withColumn("around", F.sum("same").over(near)).filter((F.col("same") >= 4) & (F.col("same") * 4 >= F.col("around"))).select(F.col("source").alias("_s"), F.col("chars").alias("_c"), F.lit(True).alias("limit"))
-    judged = joined.withColumn("docs", F.lit(total)).join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("chars") == F.col("_c")), "left")
+    # a field limit is a length in characters, bytes or words at which the texts of a source pile up
+    sized = ends.select("source", F.posexplode("measures").alias("measure", "size"))
+    lengths = sized.groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("same"))
+    near = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-50, 50)
+    piles = lengths.withColumn("around", F.sum("same").over(near)).filter((F.col("same") >= 4) & (F.col("same") * 4 >= F.col("around")))
+    limits = piles.groupBy(F.col("source").alias("_s")).agg(F.collect_set(F.struct("measure", "size")).alias("limits"))
+    judged = joined.withColumn("docs", F.lit(total)).join(limits, F.col("source").eqNullSafe(F.col("_s")), "left")
+    reached = F.filter(F.array(*[F.struct(F.lit(i).alias("measure"), F.col("measures")[i].alias("size")) for i in range(3)]), lambda m: F.array_contains("limits", m))
+    judged = judged.withColumn("limit", F.coalesce(F.size(reached) > 0, F.lit(False)))
     dots = F.col("residue") == "..."
     broken = F.lower("residue").rlike(BROKEN)
-    cut = F.when(broken, F.lit(True)).when(dots, F.coalesce("limit", F.lit(False)) | piece | held).otherwise(piece | verdict)
+    # where sentences often stop, the writer may have left out the stop - unless the text fills its field
+    whole = word | (F.coalesce(F.col("c5.n"), F.lit(0)) >= KNOWN)
+    unstopped = (F.col("residue") == "") & F.coalesce(may_stop, F.lit(False)) & whole & ~F.col("limit")
+    cut = F.when(broken, F.lit(True)).when(dots, F.col("limit") | piece | held).otherwise(piece | (verdict & ~unstopped))
     return judged.select(F.col("key").alias(key), "source", F.coalesce(cut, F.lit(False)).alias("cut"))
