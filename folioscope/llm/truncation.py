@@ -33,9 +33,8 @@ def _rstrip(c: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Number of words, as one more than the blanks, line ends and paragraph ends between them (cheaper than splitting)."""
-    without = lambda a, b="": F.length(text) - F.length(F.replace(text, F.lit(a), F.lit(b)))
-    return without(" ") + without("\n") - without("\n\n", "\n") + 1
+    """Number of words, as one more than the blanks, line ends and paragraph ends between them."""
+    return F.size(F.split(text, " ")) + F.size(F.split(F.replace(text, F.lit("\n\n"), F.lit("\n")), "\n")) - 1
 
 
 def _shape(x: Column) -> Column:
@@ -90,18 +89,25 @@ def _sequences(texts: DataFrame, text: str) -> DataFrame:
 
 def last_words(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """One row per text with letters: its last tokens after the residue of a cut, their keys, and what the residue was."""
-    # ten runs between blanks hold the last three tokens and any residue; where there are fewer, this is the whole text
-    body = F.substring_index(_rstrip(F.col(text)), " ", -10)
-    bare = _rstrip(F.regexp_replace(body, RESIDUE, ""))
+    # ten runs between blanks hold the last three tokens and any residue; where there are fewer, this is the whole text.
+    # They are cut from the last 64 runs, since trimming a long text costs its length, but from all of it where those are blanks.
+    near = F.substring_index(F.col(text), " ", -64)
+    trimmed = _rstrip(near)
+    enough = (F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) >= 10) | (near == F.col(text))
+    body = F.substring_index(F.when(enough, trimmed).otherwise(_rstrip(F.col(text))), " ", -10)
     frame = documents.filter(F.col(text).rlike(r"\p{L}")).select(
         F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.array(F.length(text), F.octet_length(text), _words(F.col(text))).alias("measures"),
-        _layout(F.col(text)).alias("layout"), F.coalesce(F.nullif(F.regexp_extract(body, RESIDUE, 0), F.lit("")), F.lit("")).alias("residue"), bare.alias("bare"),
+        _layout(F.col(text)).alias("layout"), F.explode(F.array(body)).alias("body"),
     )
-    tail = F.regexp_extract_all(F.col("bare"), F.lit(TOKEN), F.lit(0))
-    raw = F.try_element_at(tail, F.lit(-1))
-    t = F.transform(tail, _shape)
-    at = lambda i: F.when(F.size(t) >= i, F.try_element_at(t, F.lit(-i))).otherwise("^")
-    out = frame.select("key", "source", "measures", "layout", F.trim("residue").alias("residue"), raw.alias("word"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c"))
+    residue = F.coalesce(F.nullif(F.regexp_extract("body", RESIDUE, 0), F.lit("")), F.lit(""))
+    frame = frame.select("key", "source", "measures", "layout", residue.alias("residue"), F.explode(F.array(_rstrip(F.regexp_replace("body", RESIDUE, "")))).alias("bare"))
+    kept = ["key", "source", "measures", "layout", "residue"]
+    frame = frame.select(*kept, F.explode(F.array(F.regexp_extract_all(F.col("bare"), F.lit(TOKEN), F.lit(0)))).alias("w"))
+    frame = frame.select(*kept, "w", F.explode(F.array(F.transform(F.slice("w", F.greatest(F.lit(1), F.size("w") - 2), F.lit(3)), _shape))).alias("t"))
+    raw = F.try_element_at("w", F.lit(-1))
+    at = lambda i: F.coalesce(F.try_element_at("t", F.lit(-i)), F.lit("^"))
+    last = F.explode(F.array(F.struct(raw.alias("word"), at(3).alias("a"), at(2).alias("b"), at(1).alias("c")))).alias("x")
+    out = frame.select("key", "source", "measures", "layout", F.trim("residue").alias("residue"), last).select("key", "source", "measures", "layout", "residue", "x.*")
     k3, k2, k1 = _keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c"))
     return out.select("key", "source", "measures", "layout", "residue", "word", "c", k3.alias("k3"), k2.alias("k2"), k1.alias("k1"), F.xxhash64(1 - F.col("layout"), "c").alias("kx"), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("word")).alias("k4"), _itself(F.col("c"), F.col("word")).alias("k5"))
 

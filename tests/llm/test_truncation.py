@@ -58,10 +58,10 @@ def test_added_ellipsis_at_a_field_limit(spark, corpus):
 
 
 def test_defined_cases(spark, corpus):
-    odd = [(5000, None, "s0", True), (5001, "", "s0", True), (5002, " \n ", "s0", True), (5003, "***", None, True), (5004, "Word", None, True), (5005, " ".join(["The old sailor sold the silver kettle by candlelight."] * 4000), None, True), (5006, "The old sailor sold the", "s1", True), (5006, "The old sailor sold the", "s1", True)]
+    odd = [(5000, None, "s0", True), (5001, "", "s0", True), (5002, " \n ", "s0", True), (5003, "***", None, True), (5004, "Word", None, True), (5005, " ".join(["The old sailor sold the silver kettle by candlelight."] * 4000), None, True), (5007, "The old sailor sold the" + " " * 200, "s1", True), (5008, "The old sailor sold the silver kettle by candlelight." + " " * 60, "s1", True), (5006, "The old sailor sold the", "s1", True), (5006, "The old sailor sold the", "s1", True)]
     out = cut_off(spark.createDataFrame(list(corpus[0]) + odd, "doc_id int, text string, source string, cut boolean"))
     got = {r.doc_id: r.cut for r in out.collect()}
-    assert not {5000, 5001, 5002, 5003} & set(got) and got[5005] is False and got[5006] is True
+    assert not {5000, 5001, 5002, 5003} & set(got) and got[5005] is got[5008] is False and got[5006] is got[5007] is True
     assert out.filter("doc_id = 5006").count() == 2
     assert cut_off(spark.createDataFrame([], "doc_id int, text string, source string")).count() == 0
 
