@@ -11,8 +11,9 @@ from folioscope.runtime import Workspace, small
 RESIDUE = r"(?:�+|&[#\p{L}\p{N}]{0,8}|<[^<>]{0,40}|\\[a-z0-9]{0,5}|%[0-9A-Fa-f]?|(?<=[\p{L}\p{N}])[-­]|\s*\.\.\.)$"
 #: Residues that no writer leaves: they prove a cut by themselves.
 BROKEN = r"^(?:�+|&(?:#\d*|[a-z]{2,8})?|\\u[0-9a-f]{0,4})$"
-#: As many other places, mostly ends, make a last capitalised word after its two predecessors a customary closing.
-CLOSING = 4
+#: As many other places, mostly ends, make a last capitalised word after its two predecessors a customary closing,
+#: if they are also this share of the texts: pieces that cuts leave grow in number with the texts, as closings do.
+CLOSING, CLOSINGS = 4, 0.0003
 #: Words that printers set in capitals at an end; other words in capitals are one class.
 END_WORDS = ["THE", "END", "FINIS", "FIN", "FINE", "ENDE", "EXPLICIT", "AMEN"]
 TOKEN = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+|\n[ \t]*\n\s*|\n|\.\.\.|[^\s\p{L}\p{N}\"“”«»‘„]"
@@ -121,7 +122,7 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     last trigram is frequent inside but almost never at an end is cut off. Where a trigram is too rare
     to tell, its last two tokens or its last one decide, and a word that occurs nowhere but at ends of
     texts, in ever other company, is a piece of a word. A capitalised last word counts for itself where it
-    often closes texts (a printer's closing). Lined and running text are counted apart. Only sequences
+    closes a share of the texts (a printer's closing). Lined and running text are counted apart. Only sequences
     that end some text are counted, so nothing but their counts is shuffled; their keys are broadcast
     only when the written table proves small. An ellipsis that an exporter adds after its cut is told
     from a writer's by the field limit of the source: a length at which texts of one source pile up. A
@@ -158,7 +159,7 @@ def cut_off(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
         verdict = F.when(rests, ended < ENDS) if verdict is None else verdict.when(rests, ended < ENDS)
         stops = F.coalesce(F.col(f"c{i}.stopped"), F.lit(0)) / F.greatest(n[i] - own, F.lit(1)) >= STOPS
         may_stop = F.when(rests, stops) if may_stop is None else may_stop.when(rests, stops)
-    closing = (n["4"] - own >= CLOSING) & ((over_["4"] - own) * 2 >= n["4"] - own)
+    closing = (n["4"] - own >= F.greatest(F.lit(CLOSING), F.lit(CLOSINGS) * F.col("docs"))) & ((over_["4"] - own) * 2 >= n["4"] - own)
     verdict = F.when(closing, F.lit(False)).otherwise(verdict.otherwise(F.lit(False)))
     word = F.col("word").rlike(r"^[\p{Ll}’']+$")
     everywhere = n["1"] + n["x"]

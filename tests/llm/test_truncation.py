@@ -69,3 +69,17 @@ def test_defined_cases(spark, corpus):
 def test_only_sql(spark, corpus):
     plan = cut_off(spark.createDataFrame(corpus[0], "doc_id int, text string, source string, cut boolean")).filter(F.col("cut"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_repeated_capitalised_pieces_are_no_closing(spark, corpus):
+    rows = list(corpus[0])
+    rows += [(20000 + 10000 * k + i, text, s, c) for k in range(24) for i, text, s, c in corpus[0]]
+    rng = random.Random(12)
+    for i in range(400):  # the saint's name goes on, or the text is cut in it
+        rows.append((6000 + i, f"{sentence(rng)} My aunt praised the silver kettle on the feast of Saint Orrin before the harvest. {sentence(rng)}", "saints", True))
+    for i in range(7):
+        rows.append((7000 + i, f"{' '.join(sentence(rng) for _ in range(i + 1))} My aunt praised the silver kettle on the feast of Saint Orr", "saints", True))
+    for i in range(60):
+        rows.append((8000 + i, f"{' '.join(sentence(rng) for _ in range(i % 5 + 1))}\n\nLaus Deo", "printer", True))
+    out = {r.doc_id: r.cut for r in cut_off(spark.createDataFrame(rows, "doc_id int, text string, source string, cut boolean")).collect()}
+    assert all(out[7000 + i] for i in range(7)) and not any(out[8000 + i] for i in range(60))
