@@ -47,7 +47,7 @@ FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '[\s\x{A0
 
 
 def extract_list(s, d):
-    docs = read(s, d, "documents").filter("form = 'summary'").select("doc_id", F.concat(F.lit("TEXT:\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
+    docs = read(s, d, "documents").select("doc_id", F.concat(F.lit("TEXT:\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
     return E.results(E.extract(docs, NAMES, E.RuleProvider(names_rule)), NAMES, ["doc_id"])
 
 
@@ -78,7 +78,7 @@ def story_rule(prompt: str) -> dict:
 
 
 def sequential_fold(s, d):
-    p = S.fixed_windows(read(s, d, "documents").filter("form = 'drama'"), "doc_id", "text", 60)
+    p = S.fixed_windows(read(s, d, "documents"), "doc_id", "text", 60)
     out = E.fold(p, "doc_id", "seq", "text", "n_words", E.StoryFold(), E.RuleProvider(story_rule), chunk=3)
     doc = F.from_json("result", "characters array<struct<id:string,name:string,aliases:array<string>>>, relations array<struct<a:string,b:string,type:string>>, summaries array<struct<start:int,end:int,text:string>>")
     return out.withColumn("r", doc).select("doc_id", "n_passages", "n_chunks", "n_failed", F.size("r.characters").alias("characters"), F.size("r.relations").alias("relations"), F.size("r.summaries").alias("summaries"))

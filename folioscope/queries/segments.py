@@ -117,7 +117,7 @@ TRIPLES = "SELECT rel_id, 1 AS line, trim(coalesce(a, '?')) AS s, trim(coalesce(
 
 def mention_windows(s, d):
     """Windows of ten words around capitalised words, as a document's mentions of each such word."""
-    w = read(s, d, "documents").filter("form = 'summary'").select("doc_id", F.posexplode(S.words(F.col("text"))).alias("token", "word"))
+    w = read(s, d, "documents").select("doc_id", F.posexplode(S.words(F.col("text"))).alias("token", "word"))
     m = w.filter(F.col("word").rlike(r"^\p{Lu}\p{Ll}{5,}$")).select("doc_id", F.col("word").alias("entity"), F.col("token").alias("start"), F.lit(0).alias("rank"))
     return S.mention_windows(w, m, "doc_id", "token", "word", "entity", "start", 10, 3)
 

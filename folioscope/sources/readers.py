@@ -56,11 +56,11 @@ def manifest_keys(spark: SparkSession, path: str) -> DataFrame:
     return manifest(spark, path).select("_id", "seq").distinct()
 
 
-def attach(wanted: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def attach(wanted: DataFrame, passages: DataFrame, key: Sequence[str] = ("_id", "seq")) -> tuple[DataFrame, DataFrame]:
     """(manifest rows with their passages, manifest rows without)."""
-    extra = [c for c in passages.columns if c not in ("_id", "seq") and c not in wanted.columns]
-    texts = passages.select("_id", "seq", *extra)
-    return wanted.join(texts, ["_id", "seq"]), wanted.join(texts.select("_id", "seq"), ["_id", "seq"], "left_anti")
+    extra = [c for c in passages.columns if c not in key and c not in wanted.columns]
+    texts = passages.select(*key, *extra)
+    return wanted.join(texts, list(key)), wanted.join(texts.select(*key), list(key), "left_anti")
 
 
 def graph_results(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
