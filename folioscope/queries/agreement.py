@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import values as V
 from folioscope.operators import reliability as R
 from folioscope.operators import store as A
 from folioscope.runtime import read
@@ -49,36 +50,56 @@ cons AS (SELECT won._id, won.scheme, won.seq, won.field, won.value, CASE WHEN co
 """
 
 
-def _consensus(s, d):
-    return R.consensus(_votes(s, d), KEY, KINDS, ORDER, REF)
+def _all_votes(s, d):
+    """Votes of all agents, spellings of one agent merged, values read by the declared fields of the task."""
+    fields = read(s, d, "task_fields").filter((F.col("task") == "passage-content") & (F.col("task_version") == 2) & F.col("field").isin(list(KINDS)))
+    keys = {r.field: V.label_keys(r.vocabulary) for r in fields.limit(50).collect() if r.vocabulary}
+    named = F.create_map(*[F.lit(x) for name in KINDS for x in (V.label_keys([name]).popitem()[0], name)])
+    agents = F.create_map(*[F.lit(x) for name in ORDER for x in (V.label_keys([name]).popitem()[0], name)])
+    a = read(s, d, "passage_annotations").filter((F.col("task") == "passage-content") & (F.col("task_version") == 2))
+    field, agent = F.try_element_at(named, V.name_key(F.col("field"))), V.name_key(F.col("source_agent"))
+    a = a.select(*KEY, field.alias("field"), F.coalesce(F.try_element_at(agents, agent), agent).alias("agent"), "annotated_at", F.coalesce("value", F.lit("~")).alias("value"))
+    v = A.keep_last(a.filter("field IS NOT NULL AND agent IS NOT NULL"), [*KEY, "field", "agent"], ["annotated_at", "value"])
+    value = F.when(F.col("field") == "scene_content", F.to_json(V.as_label_list(F.col("value"), keys["scene_content"])))
+    value = value.when(F.col("field") == "narration_mode", V.as_label(F.col("value"), keys["narration_mode"])).otherwise(V.as_bool(F.col("value")).cast("string"))
+    return v.select(*KEY, "field", "agent", value.alias("value"))
+
+
+def _over_all(query):
+    """The query over the votes of all agents."""
+    return lambda s, d: query(s, d, _all_votes)
+
 
+def _consensus(s, d, votes=_votes):
+    return R.consensus(votes(s, d), KEY, KINDS, ORDER, REF)
 
-def trust_per_field(s, d):
-    return R.trust(_votes(s, d), KEY, REF).select("agent", "field", F.round("trust", 9).alias("trust"), "n")
+
+def trust_per_field(s, d, votes=_votes):
+    return R.trust(votes(s, d), KEY, REF).select("agent", "field", F.round("trust", 9).alias("trust"), "n")
 
 
 TRUST = f"WITH {_VOTES} SELECT v.agent, v.field, round(avg(CAST(v.value IS NOT DISTINCT FROM ref.r AS INT)) FILTER (ref._id IS NOT NULL), 9) AS trust, count(ref._id) AS n FROM votes v LEFT JOIN ref USING (_id, scheme, seq, field) WHERE v.agent <> 'reader_1' GROUP BY ALL"
 
 
-def pairwise_agreement(s, d):
-    return R.pairwise(_votes(s, d), KEY).select("agent_a", "agent_b", "field", F.round("agreement", 9).alias("agreement"), "n")
+def pairwise_agreement(s, d, votes=_votes):
+    return R.pairwise(votes(s, d), KEY).select("agent_a", "agent_b", "field", F.round("agreement", 9).alias("agreement"), "n")
 
 
 PAIRWISE = f"WITH {_VOTES} SELECT x.agent AS agent_a, y.agent AS agent_b, x.field, round(avg(CAST(x.value IS NOT DISTINCT FROM y.value AS INT)), 9) AS agreement, count(*) AS n FROM votes x JOIN votes y USING (_id, scheme, seq, field) WHERE x.agent < y.agent GROUP BY ALL"
 
 
-def consensus_tiers(s, d):
-    return _consensus(s, d)
+def consensus_tiers(s, d, votes=_votes):
+    return _consensus(s, d, votes)
 
 
-def consensus_trusted(s, d):
+def consensus_trusted(s, d, votes=_votes):
     """Only agents that agree with the reference in 80 % of the cases count."""
-    v = _votes(s, d)
+    v = votes(s, d)
     return R.consensus(v, KEY, KINDS, ORDER, REF, R.allowed(v, REF, R.trust(v, KEY, REF), 0.8, [("brass-mini", "scene_content")])).groupBy("field", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-def audit_flags(s, d):
-    v = _votes(s, d)
+def audit_flags(s, d, votes=_votes):
+    v = votes(s, d)
     c = R.consensus(v, KEY, KINDS, ORDER, REF)
     return R.audit(c, v, KEY, REF).withColumnRenamed("flagged", "differs").join(R.flagged(c, KEY, ["no_consensus", "majority"]), KEY)
 
@@ -86,8 +107,8 @@ def audit_flags(s, d):
 AUDIT = f"WITH {_VOTES} SELECT _id, scheme, seq, bool_or(coalesce(value <> r, false)) AS differs, bool_or(tier IN ('no_consensus', 'majority')) AS flagged FROM cons LEFT JOIN ref USING (_id, scheme, seq, field) GROUP BY ALL"
 
 
-def disagree_flags(s, d):
-    return R.disagreements(_votes(s, d), KEY)
+def disagree_flags(s, d, votes=_votes):
+    return R.disagreements(votes(s, d), KEY)
 
 
 DISAGREE = f"WITH {_VOTES} SELECT _id, scheme, seq, field, count(DISTINCT value) AS n_values, count(DISTINCT value) > 1 AS disagree FROM votes GROUP BY ALL"
@@ -101,12 +122,13 @@ def human_vs_model(s, d):
 HUMAN = f"WITH {_VOTES} SELECT x.field, count(*) FILTER (x.value IS NOT DISTINCT FROM y.value) AS agree, count(*) FILTER (x.value IS DISTINCT FROM y.value) AS disagree, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (x.value IS NOT DISTINCT FROM y.value) / count(*), 1) AS pct FROM votes x JOIN votes y USING (_id, scheme, seq, field) WHERE x.agent = 'reader_1' AND y.agent = 'hollin-70b' GROUP BY 1"
 
 
-def consensus_facts(s, d):
-    out = R.to_facts(_consensus(s, d), "majority", "passage-content", 2, "run9", F.timestamp_seconds(F.lit(1750000000)))
+def consensus_facts(s, d, votes=_votes):
+    out = R.to_facts(_consensus(s, d, votes), "majority", "passage-content", 2, "run9", F.timestamp_seconds(F.lit(1750000000)))
     return out.select("_id", "scheme", "seq", "field", "value", "source_family", "source_agent", F.get_json_object("meta", "$.tier").alias("tier"))
 
 
 CFACTS = f"WITH {_VOTES} SELECT _id, scheme, seq, field, value, 'derived' AS source_family, 'majority' AS source_agent, tier FROM cons WHERE value IS NOT NULL"
 
 QUERIES = {"trust_per_field": trust_per_field, "pairwise_agreement": pairwise_agreement, "consensus_tiers": consensus_tiers, "consensus_trusted": consensus_trusted, "audit_flags": audit_flags, "disagree_flags": disagree_flags, "human_vs_model": human_vs_model, "consensus_facts": consensus_facts}
+QUERIES |= {f"{q.__name__}_all": _over_all(q) for q in (trust_per_field, pairwise_agreement, consensus_tiers, consensus_trusted, audit_flags, disagree_flags, consensus_facts)}
 ORACLES = {"trust_per_field": TRUST, "pairwise_agreement": PAIRWISE, "consensus_tiers": f"WITH {_VOTES} SELECT * FROM cons", "audit_flags": AUDIT, "disagree_flags": DISAGREE, "human_vs_model": HUMAN, "consensus_facts": CFACTS}
