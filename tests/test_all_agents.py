@@ -1,6 +1,8 @@
 """Queries over the votes of all agents."""
 
-from folioscope.queries import agreement
+from pyspark.sql import functions as F
+
+from folioscope.queries import agreement, statistics
 from tests.compare import DATA
 
 
@@ -11,3 +13,9 @@ def test_all_agents_vote(spark):
     assert every.count() > some.count() and every.filter("value IS NOT NULL").count() > some.filter("value IS NOT NULL").count()
     pairs = agreement.QUERIES["pairwise_agreement_all"](spark, DATA)
     assert {r.agent_a for r in pairs.select("agent_a").union(pairs.select("agent_b")).collect()} == agents
+
+
+def test_rates_over_all_agents(spark):
+    sums = lambda q: {r.label: r.n for r in statistics.QUERIES[q](spark, DATA).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    some, every = sums("rates_by_lang_period"), sums("rates_by_lang_period_all")
+    assert set(some) == set(every) and all(every[k] > 2 * some[k] for k in some)
