@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from folioscope.runtime import Workspace, read, small
 NAMELESS = ["", "-", "?", "??", "n/a", "na", "none", "null", "nil", "anon", "anon.", "anonymous", "anonym", "anonyme", "anonimo", "anónimo", "unknown", "unbekannt", "inconnu", "desconocido", "various", "n.n.", "s.n.", "[anon]", "[anon.]", "[anonymous]"]
 #: Sorts after every work id, so that the smallest member of a group is a work.
 _ENTITY = "\uffff"
-#: Groups with at least this share of all records are placed one by one; there can be at most 1 / BIG of them.
-BIG = 0.001
+#: Size of the space of hashes, the bins in which the passages are counted along it, the number of hash functions tried, and what tells them apart.
+SPACE, BINS, TRIES, STRIDE = 1 << 31, 4096, 16, 1640531527
 
 
 def headings(author: Column) -> Column:
@@ -45,33 +46,39 @@ def text_groups(texts: DataFrame) -> DataFrame:
 
 
 def assign(sizes: DataFrame, group: str, size: str, shares: list[tuple[str, float]]) -> DataFrame:
-    """(group, split): the hash of the group identifier falls into ranges proportional to what each split still needs.
+    """(group, split, size): the hash of the group identifier falls into ranges that hold the shares of all records.
 
-    Groups that hold at least `BIG` of all records (at most 1 / BIG of them) are first given, largest
-    first, to the split that lacks the most; the ranges then make up the rest. So one hot group can't
-    throw the shares off, and every other group is placed by its hash alone.
+    Records are counted along the space of hashes in BINS bins; each range ends at the edge of a bin where
+    the records so far are nearest to its share. Every group is placed by its hash alone, a hot one too,
+    so an edge can miss its share by no more than half of the bin it falls into. TRIES hash functions (an
+    md5 digest times an odd number) are tried, and the one with the smallest largest deviation is taken.
 
-    Defined cases: an empty table gives an empty one; shares must be positive and are scaled to sum to 1.
+    Defined cases: an empty table gives an empty one; a null group is left out; shares must be positive
+    and are scaled to sum to 1.
     """
-    total = sizes.agg(F.sum(size)).first()[0] or 0
-    whole = sum(s for _, s in shares)
-    need = {n: total * s / whole for n, s in shares}
-    big = sizes.filter(F.col(size) >= max(1.0, BIG * total)).select(group, size).orderBy(F.desc(size), group).collect() if total else []
-    fixed = []
-    for row in big:
-        split = max(need, key=lambda n: (need[n], n))
-        fixed.append((row[group], split))
-        need[split] -= row[size]
-    rest = sum(max(0.0, x) for x in need.values())
-    unit = (F.xxhash64(F.lit("split"), F.col(group)) / F.lit(2.0**64)) + 0.5
-    expression, upto = None, 0.0
-    for n, _ in shares:
-        upto += max(0.0, need[n]) / rest if rest else 1 / len(shares)
-        expression = F.when(unit < upto, n) if expression is None else expression.when(unit < upto, n)
-    expression = expression.otherwise(max(need, key=lambda n: (need[n], n)))
-    spark = sizes.sparkSession
-    placed = spark.createDataFrame(fixed, f"{group} {sizes.schema[group].dataType.simpleString()}, fixed string")
-    return sizes.join(F.broadcast(placed), group, "left").select(group, F.coalesce("fixed", expression).alias("split"), size)
+    names = [n for n, _ in shares]
+    upto = np.cumsum([s for _, s in shares]) / sum(s for _, s in shares)
+    place = F.shiftright(F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("bigint"), 1)
+    placed = sizes.filter(F.col(group).isNotNull()).select(group, size, place.alias("_at"))
+
+    def bin_(k: Column) -> Column:
+        at = (F.col("_at") * (k * F.lit(STRIDE) % F.lit(SPACE)).bitwiseOR(F.lit(1))) % F.lit(SPACE)
+        return F.shiftright(at, (SPACE // BINS).bit_length() - 1).cast("int")
+
+    tried = placed.select(F.explode(F.expr(f"sequence(0L, {TRIES - 1}L)")).alias("k"), "_at", F.col(size).alias("_n"))
+    counts = np.zeros((TRIES, BINS + 1))
+    for r in tried.groupBy("k", bin_(F.col("k")).alias("bin")).agg(F.sum("_n").alias("n")).collect():  # at most TRIES x BINS rows
+        counts[r.k, r.bin + 1] = r.n
+    before = counts.cumsum(1)
+    total = before[0, -1]
+    edges = np.array([[int(np.abs(before[k] - u * total).argmin()) for u in upto[:-1]] + [BINS] for k in range(TRIES)])
+    reached = np.diff(np.take_along_axis(before, edges, 1), prepend=0.0, axis=1)
+    errors = np.abs(reached - np.diff(upto, prepend=0.0) * total).max(1).round(6)
+    best = int(errors.argmin())
+    split = F.lit(names[-1])
+    for n, edge in reversed(list(zip(names[:-1], edges[best][:-1].tolist()))):
+        split = F.when(bin_(F.lit(best).cast("bigint")) < edge, n).otherwise(split)
+    return placed.select(group, split.alias("split"), size)
 
 
 def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +114,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return text_groups(read(spark, d, "texts")).filter("root < member").select(F.col("root").alias("id_first"), F.col("member").alias("id_other"))
 
 
-FOUND_SQL = """
+_GROUPS = """
 WITH RECURSIVE e AS (
   SELECT _id, 'a:' || h AS e FROM (SELECT _id, lower(trim(unnest(string_split(author, ';')))) AS h FROM texts)
   WHERE regexp_matches(h, '\\p{L}') AND h NOT IN ('n/a', 'na', 'none', 'null', 'nil', 'anon', 'anon.', 'anonymous', 'anonym', 'anonyme', 'anonimo', 'anónimo', 'unknown',
@@ -116,7 +123,29 @@ WITH RECURSIVE e AS (
 star AS (SELECT e, min(_id) AS hub FROM e GROUP BY e),
 ways AS (SELECT _id AS a, hub AS b FROM e JOIN star USING (e) UNION SELECT hub, _id FROM e JOIN star USING (e)),
 reach AS (SELECT a AS member, a AS root FROM ways UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.member)
+"""
+FOUND_SQL = _GROUPS + """
 SELECT min(root) AS id_first, member AS id_other FROM reach GROUP BY member HAVING min(root) < member
 """
+_PLACED = _GROUPS + f""",
+work AS (SELECT member AS _id, min(root) AS "group" FROM reach GROUP BY member),
+passage AS (SELECT DISTINCT _id, scheme, seq FROM passage_annotations),
+sized AS (SELECT coalesce(w."group", p._id) AS "group", count(*) AS n FROM passage p LEFT JOIN work w USING (_id) GROUP BY 1),
+hashed AS (SELECT *, ('0x' || substr(md5("group"), 1, 8))::BIGINT >> 1 AS pos FROM sized),
+total AS (SELECT sum(n) AS total FROM sized),
+bound AS (SELECT split_name, sum(target_share) OVER w / sum(target_share) OVER () AS upto, target_share / sum(target_share) OVER () AS share, row_number() OVER w AS j, count(*) OVER () AS js
+  FROM split_targets WHERE target_share > 0 WINDOW w AS (ORDER BY target_share DESC, split_name ROWS UNBOUNDED PRECEDING)),
+tried AS (SELECT k, "group", n, ((pos * (((k * {STRIDE}) % {SPACE}) | 1)) % {SPACE}) // {SPACE // BINS} AS bin FROM hashed, range({TRIES}) t(k)),
+bins AS (SELECT k, bin, sum(n) AS n FROM tried GROUP BY 1, 2),
+edges AS (SELECT k, e, coalesce(sum(n) OVER (PARTITION BY k ORDER BY e ROWS UNBOUNDED PRECEDING), 0) AS before FROM (SELECT x.k, e, coalesce(n, 0) AS n FROM range({TRIES}) x(k), range({BINS + 1}) y(e) LEFT JOIN bins b ON b.k = x.k AND b.bin = y.e - 1)),
+cuts AS (SELECT e.k, b.j, b.split_name, b.share, CASE WHEN b.j = any_value(b.js) THEN {BINS} ELSE arg_min(e.e, (abs(e.before - b.upto * t.total), e.e)) END AS edge FROM edges e, bound b, total t GROUP BY e.k, b.j, b.split_name, b.share),
+ends AS (SELECT c.*, e.before FROM cuts c JOIN edges e ON e.k = c.k AND e.e = c.edge),
+reached AS (SELECT k, abs(before - coalesce(lag(before) OVER (PARTITION BY k ORDER BY j), 0) - share * total) AS miss FROM ends, total),
+best AS (SELECT k FROM reached GROUP BY k ORDER BY round(max(miss), 6), k LIMIT 1),
+placed AS (SELECT t."group", t.n, (SELECT arg_min(split_name, j) FROM cuts c WHERE c.k = t.k AND t.bin < c.edge) AS split FROM tried t WHERE k = (SELECT k FROM best))
+"""
+SPLITS_SQL = _PLACED + """SELECT p._id, p.scheme, p.seq, coalesce(w."group", p._id) AS "group", s.split FROM passage p LEFT JOIN work w USING (_id) JOIN placed s ON s."group" = coalesce(w."group", p._id)"""
+SHARES_SQL = _PLACED + """SELECT t.split_name, t.target_share, coalesce(sum(n), 0)::BIGINT AS passages, count(n) AS groups, coalesce(sum(n), 0) / (SELECT total FROM total) AS reached_share
+FROM split_targets t LEFT JOIN placed p ON p.split = t.split_name GROUP BY 1, 2"""
 QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares}
-ORACLES = {"p5_found": FOUND_SQL}
+ORACLES = {"p5_found": FOUND_SQL, "p5_splits": SPLITS_SQL, "p5_shares": SHARES_SQL}
