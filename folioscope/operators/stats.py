@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from folioscope.runtime import Workspace
+from folioscope.runtime import Workspace, small
 
-#: Number of possible tables up to which an exact test sums over all of them.
-STEPS = 200_000
+#: Parts into which one of two lists of names is dealt when every name of one meets every name of the other.
+BLOCKS = 64
 
 
 # ---- features -------------------------------------------------------------------------------
@@ -74,9 +74,10 @@ def groups(texts: DataFrame, tags: DataFrame, key: str, year: Column, tag: str =
     """
     from folioscope.functions.text import half_century
 
-    base = tags.select(key, F.col(tag).alias("t")).filter("t IS NOT NULL").distinct()
-    often = base.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("t")
-    kept = base.join(F.broadcast(often), "t", "left_semi")
+    space = Workspace(tags.sparkSession, "groups")
+    base = space.keep(tags.select(key, F.col(tag).alias("t")).filter("t IS NOT NULL").distinct())
+    often = space.keep(base.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("t"))
+    kept = base.join(small(often), "t", "left_semi")
     single = kept.select(key, F.col("t").alias("grp"), F.lit("tag").alias("kind"))
     listed = kept.groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("ts")).filter(F.size("ts") > 1)
     firsts = listed.select(key, "ts", F.posexplode("ts").alias("i", "a"))
@@ -84,9 +85,9 @@ def groups(texts: DataFrame, tags: DataFrame, key: str, year: Column, tag: str =
     era = texts.select(key, half_century(year).alias("h")).filter("h IS NOT NULL").distinct()
     halves = era.select(key, F.col("h").alias("grp"), F.lit("halfcent").alias("kind"))
     crossed = era.join(kept, key).select(key, F.concat("h", F.lit("|"), "t").alias("grp"), F.lit("halfcent_tag").alias("kind"))
-    every = single.unionByName(pairs).unionByName(halves).unionByName(crossed)
-    sizes = every.groupBy("kind", "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return every.join(F.broadcast(sizes.select("kind", "grp")), ["kind", "grp"], "left_semi").select(key, "grp", "kind")
+    every = space.keep(single.unionByName(pairs).unionByName(halves).unionByName(crossed))
+    sizes = space.keep(every.groupBy("kind", "grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("kind", "grp"))
+    return every.join(small(sizes), ["kind", "grp"], "left_semi").select(key, "grp", "kind")
 
 
 # ---- contingency and exact tests ------------------------------------------------------------
@@ -95,40 +96,43 @@ def groups(texts: DataFrame, tags: DataFrame, key: str, year: Column, tag: str =
 def contingency(features: DataFrame, members: DataFrame, key: Sequence[str], least_group: int = 30, least_feature: int = 20) -> DataFrame:
     """(grp, kind, feature, a, b, c, d) on the keys that both frames have; every pair of frequent group and feature, a = 0 too.
 
-    The pairs of dimension values that survive their minimum sizes are made from the two short lists of
-    names (their product is the size of the result), never from rows.
+    The pairs of dimension values that survive their minimum sizes are the result itself; they are made from
+    the two lists of names, one of them dealt into blocks, so no list is held in one row and none is
+    broadcast unless its written size is small.
     """
     space = Workspace(features.sparkSession, "contingency")
     f, g = space.keep(features.select(*key, "feature").distinct()), space.keep(members.select(*key, "grp", "kind").distinct())
-    shared = space.keep(f.select(*key).distinct().join(g.select(*key).distinct(), list(key), "left_semi"))
-    f, g = space.keep(f.join(shared, list(key), "left_semi")), space.keep(g.join(shared, list(key), "left_semi"))
-    total = shared.agg(F.count(F.lit(1)).alias("n"))
-    nf = f.groupBy("feature").agg(F.count(F.lit(1)).alias("nf")).filter(F.col("nf") >= least_feature)
-    ng = g.groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("ng")).filter(F.col("ng") >= least_group)
-    both = f.join(F.broadcast(nf.select("feature")), "feature", "left_semi").join(g.join(F.broadcast(ng.select("grp", "kind")), ["grp", "kind"], "left_semi"), list(key)).groupBy("grp", "kind", "feature").agg(F.count(F.lit(1)).alias("a"))
-    lists = nf.agg(F.collect_list(F.struct("feature", "nf")).alias("fs"))
-    one = ng.join(F.broadcast(lists.join(F.broadcast(total))), how="inner")
-    pairs = one.select("grp", "kind", "ng", "n", F.explode("fs").alias("x")).select("grp", "kind", "ng", "n", "x.feature", "x.nf")
-    out = pairs.join(both, ["grp", "kind", "feature"], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("bigint")))
-    return out.select("grp", "kind", "feature", "a", (F.col("ng") - F.col("a")).alias("b"), (F.col("nf") - F.col("a")).alias("c"), (F.col("n") - F.col("ng") - F.col("nf") + F.col("a")).alias("d"))
+    shared = space.keep(f.select(*key).join(g.select(*key), list(key), "left_semi").distinct())
+    f, g = space.keep(f.join(small(shared), list(key), "left_semi")), space.keep(g.join(small(shared), list(key), "left_semi"))
+    n = shared.count()
+    nf = space.keep(f.groupBy("feature").agg(F.count(F.lit(1)).alias("nf")).filter(F.col("nf") >= least_feature))
+    ng = space.keep(g.groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("ng")).filter(F.col("ng") >= least_group))
+    both = f.join(small(nf.select("feature"), of=nf), "feature", "left_semi").join(g.join(small(ng.select("grp", "kind"), of=ng), ["grp", "kind"], "left_semi"), list(key)).groupBy("grp", "kind", "feature").agg(F.count(F.lit(1)).alias("a"))
+    out = _every_pair(ng, nf.select("feature", "nf")).join(both, ["grp", "kind", "feature"], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("bigint")))
+    return out.select("grp", "kind", "feature", "a", (F.col("ng") - F.col("a")).alias("b"), (F.col("nf") - F.col("a")).alias("c"), (F.lit(n) - F.col("ng") - F.col("nf") + F.col("a")).alias("d"))
+
+
+def _every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of `left` beside every row of `right`: right is dealt into blocks, left goes to each block, and the blocks are joined."""
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(BLOCKS)).cast("int"))
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(dealt, "_block").drop("_block")
 
 
 def feature_pairs(features: DataFrame, key: Sequence[str], least: int = 20, across: bool = True) -> DataFrame:
     """(feature_a, feature_b, a, b, c, d) for pairs of frequent features in name order; `across`: only of different tasks (the part before the dot)."""
-    f = Workspace(features.sparkSession, "pairs").keep(features.select(*key, "feature").distinct())
-    n = f.select(*key).distinct().agg(F.count(F.lit(1)).alias("n"))
-    nf = f.groupBy("feature").agg(F.count(F.lit(1)).alias("nf")).filter(F.col("nf") >= least)
-    kept = f.join(F.broadcast(nf.select("feature")), "feature", "left_semi")
+    space = Workspace(features.sparkSession, "pairs")
+    f = space.keep(features.select(*key, "feature").distinct())
+    n = f.select(*key).distinct().count()
+    nf = space.keep(f.groupBy("feature").agg(F.count(F.lit(1)).alias("nf")).filter(F.col("nf") >= least))
+    kept = f.join(small(nf.select("feature"), of=nf), "feature", "left_semi")
     listed = kept.groupBy(*key).agg(F.array_sort(F.collect_set("feature")).alias("fs"))
     firsts = listed.select("fs", F.posexplode("fs").alias("i", "feature_a"))
     both = firsts.select("feature_a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("feature_b")).groupBy("feature_a", "feature_b").agg(F.count(F.lit(1)).alias("a"))
-    lists = nf.agg(F.array_sort(F.collect_list(F.struct("feature", "nf"))).alias("fs")).join(F.broadcast(n))
-    pairs = lists.select("n", "fs", F.posexplode("fs").alias("i", "x")).select("n", F.col("x.feature").alias("feature_a"), F.col("x.nf").alias("na"), F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("y"))
-    pairs = pairs.select("n", "feature_a", "na", F.col("y.feature").alias("feature_b"), F.col("y.nf").alias("nb"))
+    pairs = _every_pair(nf.toDF("feature_a", "na"), nf.toDF("feature_b", "nb")).filter("feature_a < feature_b")
     if across:
         pairs = pairs.filter(F.substring_index("feature_a", ".", 1) != F.substring_index("feature_b", ".", 1))
     out = pairs.join(both, ["feature_a", "feature_b"], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("bigint")))
-    return out.select("feature_a", "feature_b", "a", (F.col("na") - F.col("a")).alias("b"), (F.col("nb") - F.col("a")).alias("c"), (F.col("n") - F.col("na") - F.col("nb") + F.col("a")).alias("d"))
+    return out.select("feature_a", "feature_b", "a", (F.col("na") - F.col("a")).alias("b"), (F.col("nb") - F.col("a")).alias("c"), (F.lit(n) - F.col("na") - F.col("nb") + F.col("a")).alias("d"))
 
 
 def odds_and_rates(tables: DataFrame) -> DataFrame:
@@ -154,18 +158,16 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
 def exact_p(a: int, b: int, c: int, d: int) -> float:
     """Two-sided probability of a 2 x 2 table: the sum over all tables with its margins that are no likelier.
 
-    Beyond STEPS possible tables, those more than 45 deviations from both the mode and the table itself
-    are left out; each is less likely than exp(-900).
+    Tables more than 45 deviations from both the mode and the table itself are each less likely than
+    exp(-900), which a double can't hold; the sum goes over all others.
     """
     r, k, n = a + b, a + c, a + b + c + d
     low, high = max(0, a - d), min(r, k)
-    if high - low <= STEPS:
-        xs = np.arange(low, high + 1)
-    else:
-        mean = r * k / n
-        reach = 45 * math.sqrt(max(1.0, mean * (1 - k / n) * (n - r) / max(1, n - 1))) + 50
-        near = [np.arange(max(low, int(z - reach)), min(high, int(z + reach)) + 1) for z in (mean, a)]
-        xs = np.unique(np.concatenate(near))
+    mean = r * k / max(1, n)
+    reach = 45 * math.sqrt(max(1.0, mean * (1 - k / max(1, n)) * (n - r) / max(1, n - 1))) + 50
+    near = [(max(low, int(z - reach)), min(high, int(z + reach))) for z in (mean, a)]
+    (x0, x1), (y0, y1) = sorted(near)
+    xs = np.arange(x0, max(x1, y1) + 1) if y0 <= x1 + 1 else np.concatenate([np.arange(x0, x1 + 1), np.arange(y0, y1 + 1)])
     m = len(xs)
     logs = _log_factorial(np.concatenate([xs, r - xs, k - xs, n - r - k + xs, [r, n - r, k, n - k, n]]))
     lp = logs[4 * m : 4 * m + 4].sum() - logs[-1] - logs[: 4 * m].reshape(4, m).sum(0)
@@ -188,18 +190,34 @@ def fisher(tables: DataFrame) -> DataFrame:
     return tables.repartition(tables.sparkSession.sparkContext.defaultParallelism).withColumn("p_value", p("a", "b", "c", "d"))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, ties: Sequence[str]) -> DataFrame:
-    """Adds q_value: p n / rank, then the running minimum from the largest p down. One window over all tests, whose number is that of the dimension pairs."""
-    order = Window.orderBy(F.col(p).asc_nulls_last(), *ties)
-    ranked = tests.withColumns({"_r": F.row_number().over(order), "_n": F.count(p).over(Window.partitionBy())})
-    back = Window.orderBy(F.col("_r")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn("q_value", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(back)))).drop("_r", "_n")
+def benjamini_hochberg(tests: DataFrame, p: str, hypotheses: int | None = None) -> DataFrame:
+    """Adds q_value: p n / rank, then the running minimum from the largest p down; n is the number of non-null p or `hypotheses`.
+
+    The rank of a p-value is the number of p-values that are not greater. No task sorts all tests: p-values
+    fall into narrow bins of their logarithm, the running minimum goes over the at most 4,000 bins, and inside
+    each bin over its own distinct values. A null p has a null q.
+    """
+    space = Workspace(tests.sparkSession, "discovery")
+    bin_ = F.floor(F.greatest(F.log(F.greatest(F.col(p).cast("double"), F.lit(1e-300))), F.lit(-700.0)) * 5.7).cast("int")
+    binned = tests.withColumn("_bin", bin_)
+    values = space.keep(binned.filter(F.col(p).isNotNull()).groupBy("_bin", p).agg(F.count(F.lit(1)).alias("_c")))
+    bins = space.keep(values.groupBy("_bin").agg(F.sum("_c").alias("_n")))
+    n = F.lit(float(hypotheses)) if hypotheses is not None else F.lit(float(bins.agg(F.sum("_n")).first()[0] or 0))
+    before = bins.select("_bin", F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = Window.partitionBy("_bin").orderBy(p)
+    ranked = values.join(small(before, of=bins), "_bin").withColumn("_rank", F.coalesce("_before", F.lit(0)) + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    q = ranked.withColumn("_q", F.least(F.lit(1.0), F.col(p) * F.greatest(n, F.lit(1.0)) / F.col("_rank")))
+    q = space.keep(q.withColumn("_own", F.min("_q").over(inside.rowsBetween(0, Window.unboundedFollowing))).select("_bin", p, "_q", "_own"))
+    least = q.groupBy("_bin").agg(F.min("_q").alias("_m"))
+    later = least.select("_bin", F.min("_m").over(Window.orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    final = q.join(small(later, of=bins), "_bin").select(F.col("_bin"), F.col(p), F.least("_own", F.coalesce("_later", F.lit(1.0))).alias("q_value"))
+    return binned.join(small(final, of=q), ["_bin", p], "left").drop("_bin")
 
 
 def discriminate(features: DataFrame, members: DataFrame, key: Sequence[str], least_group: int = 30, least_feature: int = 20) -> DataFrame:
     """Every frequent group against every frequent feature: table, odds, rates, exact p and q."""
     tables = odds_and_rates(contingency(features, members, key, least_group, least_feature))
-    return benjamini_hochberg(fisher(tables), "p_value", ["kind", "grp", "feature"])
+    return benjamini_hochberg(Workspace(features.sparkSession, "tests").keep(fisher(tables)), "p_value")
 
 
 def report(tests: DataFrame, kind: str, alpha: float, top: int, ties: Sequence[str]) -> DataFrame:
@@ -249,7 +267,7 @@ def presence_rates(rows: DataFrame, label: str, items: str, labels: Sequence[str
     """Share of the rows of each label that hold an item, one column per label, and the spread between labels; the `top` widest."""
     totals = rows.groupBy(label).agg(F.count(F.lit(1)).alias("total"))
     seen = rows.select(label, F.explode(F.array_distinct(items)).alias("item")).groupBy(label, "item").agg(F.count(F.lit(1)).alias("n"))
-    rates = seen.join(F.broadcast(totals), label).withColumn("rate", F.col("n") / F.col("total"))
+    rates = seen.join(totals, label).withColumn("rate", F.col("n") / F.col("total"))
     wide = rates.groupBy("item").pivot(label, list(labels)).agg(F.first("rate"))
     wide = wide.select("item", *[F.coalesce(F.col(f"`{x}`"), F.lit(0.0)).alias(f"rate_{x}") for x in labels])
     columns = [F.col(f"`rate_{x}`") for x in labels]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.functions import values as V
 from folioscope.operators import stats as T
-from folioscope.runtime import read
+from folioscope.runtime import Workspace, read
 
 KEY = ["_id", "scheme", "seq"]
 
@@ -21,23 +21,26 @@ def passages(s, d):
     p = read(s, d, "passage_content")
     lists = {c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), _label), lambda x: x.isNotNull() & (x != "")) for c in ("scene_content", "setting")}
     rows = p.select(*KEY, "is_prose_fiction", *[v.alias(k) for k, v in lists.items()])
-    return rows.groupBy(*KEY).agg(F.max("is_prose_fiction").alias("is_prose_fiction"), F.array_distinct(F.flatten(F.collect_list("scene_content"))).alias("scene_content"), F.array_distinct(F.flatten(F.collect_list("setting"))).alias("setting"))
+    return Workspace(s, "passages").keep(rows.groupBy(*KEY).agg(F.max("is_prose_fiction").alias("is_prose_fiction"), F.array_distinct(F.flatten(F.collect_list("scene_content"))).alias("scene_content"), F.array_distinct(F.flatten(F.collect_list("setting"))).alias("setting")))
 
 
-def features(s, d):
-    content = T.expand_booleans(passages(s, d), KEY, {"is_prose_fiction": "bool", "scene_content": "list"}, "content.")
-    place = T.expand_booleans(passages(s, d), KEY, {"setting": "list"}, "place.")
+def features(s, d, p=None):
+    p = passages(s, d) if p is None else p
+    content = T.expand_booleans(p, KEY, {"is_prose_fiction": "bool", "scene_content": "list"}, "content.")
+    place = T.expand_booleans(p, KEY, {"setting": "list"}, "place.")
     return content, place
 
 
-def tags(s, d):
+def tags(s, d, p=None):
+    p = passages(s, d) if p is None else p
     g = read(s, d, "genre_lite").select("_id", F.explode("genre_tags").alias("tag")).select("_id", F.regexp_replace(F.lower(F.trim("tag")), "-", " ").alias("tag")).filter("tag <> ''").distinct()
-    return passages(s, d).select(*KEY).join(g, "_id").select(F.struct(*KEY).alias("k"), "tag")
+    return p.select(*KEY).join(g, "_id").select(F.struct(*KEY).alias("k"), "tag")
 
 
-def members(s, d, least=30):
-    t = passages(s, d).select(*KEY).join(read(s, d, "texts").select("_id", "year"), "_id").select(F.struct(*KEY).alias("k"), "year")
-    g = T.groups(t, tags(s, d), "k", F.col("year"), "tag", least)
+def members(s, d, least=30, p=None):
+    p = passages(s, d) if p is None else p
+    t = p.select(*KEY).join(read(s, d, "texts").select("_id", "year"), "_id").select(F.struct(*KEY).alias("k"), "year")
+    g = T.groups(t, tags(s, d, p), "k", F.col("year"), "tag", least)
     return g.select("k.*", "grp", "kind")
 
 
@@ -73,8 +76,8 @@ qv AS (SELECT *, least(1.0, min(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN C
 """
 
 
-def features_bool(s, d):
-    content, place = features(s, d)
+def features_bool(s, d, p=None):
+    content, place = features(s, d, p)
     return content.unionByName(place)
 
 
@@ -108,8 +111,8 @@ def group_members(s, d):
 
 
 def contingency_counts(s, d):
-    f = features_bool(s, d)
-    return T.contingency(f, members(s, d), KEY)
+    p = passages(s, d)
+    return T.contingency(features_bool(s, d, p), members(s, d, p=p), KEY)
 
 
 def odds_rates(s, d):
@@ -121,7 +124,8 @@ ODDS = f"""WITH {_BASE} SELECT grp, kind, feature, CASE WHEN b * c = 0 THEN -1.0
 
 
 def discriminate(s, d):
-    out = T.discriminate(features_bool(s, d), members(s, d), KEY)
+    p = passages(s, d)
+    out = T.discriminate(features_bool(s, d, p), members(s, d, p=p), KEY)
     return out.select("grp", "kind", "feature", "a", "b", "c", "d", F.round("p_value", 7).alias("p_value"), F.round("q_value", 7).alias("q_value"))
 
 
@@ -129,7 +133,8 @@ DISCRIMINATE = f"WITH {_BASE}, {_FISHER.format(tab='tab', ties='kind, grp, featu
 
 
 def discriminate_report(s, d):
-    out = T.report(T.discriminate(features_bool(s, d), members(s, d), KEY), "kind", 1.1, 5, ["grp", "feature"])
+    p = passages(s, d)
+    out = T.report(T.discriminate(features_bool(s, d, p), members(s, d, p=p), KEY), "kind", 1.1, 5, ["grp", "feature"])
     return out.select("kind", "rank", "grp", "feature", F.round("q_value", 7).alias("q_value"))
 
 
@@ -139,7 +144,7 @@ REPORT = f"WITH {_BASE}, {_FISHER.format(tab='tab', ties='kind, grp, feature')}
 def feature_pair_tests(s, d):
     f = features_bool(s, d)
     t = T.feature_pairs(f, KEY).filter("NOT (b = 0 AND c = 0)")
-    out = T.benjamini_hochberg(T.fisher(t), "p_value", ["feature_a", "feature_b"])
+    out = T.benjamini_hochberg(Workspace(s, "tests").keep(T.fisher(t)), "p_value")
     return out.select("feature_a", "feature_b", "a", "b", "c", "d", F.round("p_value", 7).alias("p_value"), F.round("q_value", 7).alias("q_value"))
 
 

@@ -105,12 +105,13 @@ def table_bytes(table: DataFrame) -> int:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
-def small(table: DataFrame, limit: int = BROADCAST_BYTES, inflate: int = 4) -> DataFrame:
+def small(table: DataFrame, limit: int = BROADCAST_BYTES, inflate: int = 4, of: DataFrame | None = None) -> DataFrame:
     """`table` marked for broadcast if the bytes written for it prove that it is small, else as it is.
 
-    Parquet is compressed, so the written size is multiplied by `inflate` before the comparison.
+    Parquet is compressed, so the written size is multiplied by `inflate` before the comparison. `of` is the
+    written table where `table` is a projection of it, or has no more rows.
     """
-    return F.broadcast(table) if table_bytes(table) * inflate <= limit else table
+    return F.broadcast(table) if table_bytes(table if of is None else of) * inflate <= limit else table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,20 +22,16 @@ def test_fisher_against_fractions(spark):
 
 
 def test_fisher_of_large_tables():
-    whole = T.exact_p(30_050, 29_950, 30_000, 30_000)
-    steps, T.STEPS = T.STEPS, 10
-    try:
-        assert math.isclose(T.exact_p(30_050, 29_950, 30_000, 30_000), whole, rel_tol=1e-9)
-        assert T.exact_p(900, 10, 20, 5000) < 1e-300 or T.exact_p(900, 10, 20, 5000) >= 0
-    finally:
-        T.STEPS = steps
+    assert math.isclose(T.exact_p(3_050, 2_950, 3_000, 3_000), exact(3_050, 2_950, 3_000, 3_000), rel_tol=1e-9)
+    assert T.exact_p(900, 10, 20, 5000) < 1e-300
+    assert math.isclose(T.exact_p(700, 2, 3, 800), exact(700, 2, 3, 800), rel_tol=1e-6)
     big = 2_000_000_000
     assert math.isclose(T.exact_p(big, big, big, big), 1.0, rel_tol=1e-6)
 
 
 def test_benjamini_hochberg(spark):
     p = [0.01, 0.04, 0.03, 0.04, None, 0.9]
-    out = {r.i: r.q for r in T.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "i int, p double"), "p", ["i"]).select("i", F.col("q_value").alias("q")).collect()}
+    out = {r.i: r.q for r in T.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "i int, p double"), "p").select("i", F.col("q_value").alias("q")).collect()}
     known = sorted((x, i) for i, x in enumerate(p) if x is not None)
     best = 1.0
     for rank in range(len(known), 0, -1):
