@@ -39,32 +39,34 @@ def test_null_honours_frequencies_and_sizes():
 def test_tails():
     rng = np.random.default_rng(1)
     q, n = np.array([0.02, 0.2]), np.array([120.0, 60.0])
-    exact = [p6.tail(q, n, k) for k in range(0, 60)]
-    limit, p6.EXACT_RECORDS = p6.EXACT_RECORDS, 0
-    try:
-        near = [p6.tail(q, n, k) for k in range(0, 60)]
-    finally:
-        p6.EXACT_RECORDS = limit
-    for k, (a, b) in enumerate(zip(exact, near)):
-        if a > 1e-250:
-            assert abs(a - b) <= 0.04 * a + 1e-12, k
+    p = np.array([1.0])
+    for c, m in zip(q, n.astype(int)):
+        for _ in range(m):
+            p = np.convolve(p, (1 - c, c))
+    for k in range(0, 181):
+        want = p[k:].sum()
+        assert abs(p6.tail(q, n, k) - want) <= 1e-9 * want, k
     draws = rng.binomial(120, 0.02, 20000) + rng.binomial(60, 0.2, 20000)
-    assert abs((draws >= 20).mean() - exact[20]) < 0.01
+    assert abs((draws >= 20).mean() - p6.tail(q, n, 20)) < 0.01
     assert p6.tail(q, n, 0) == 1.0 and p6.tail(q, n, 181) == 0.0
+    # a binomial of a thousand million trials
+    big = p6.tail(np.array([1e-3]), np.array([1e9]), 1_003_000)
+    assert abs(big / 1.36e-3 - 1) < 0.02
 
 
-def test_discovery_rate(spark):
-    rng = random.Random(8)
-    ps = [rng.random() ** 6 for _ in range(200)] + [0.5, 0.5]
-    got = {r.i: r.q_value for r in p6.discovery(spark.createDataFrame(list(enumerate(ps)), "i int, p double"), "p", 300).collect()}
-    best, order = 1.0, sorted(range(len(ps)), key=lambda i: ps[i])
-    want = {}
-    for rank in range(len(ps), 0, -1):
-        i = order[rank - 1]
-        same = sum(p <= ps[i] for p in ps)
-        best = min(best, ps[i] * 300 / same)
-        want[i] = best
-    assert all(abs(got[i] - want[i]) < 1e-12 for i in want)
+def test_fitness_meets_its_frequency():
+    y, records = np.array([0.01, 0.1, 2.0]), np.array([1000.0, 200.0, 10.0])
+    for count in (1, 17, 400, 1200):
+        x = p6.fitness(count, y, records)
+        assert abs((records * x * y / (1 + x * y)).sum() - count) < 1e-6 * count
+
+
+def test_long_baskets_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(p6, "PART", 3)
+    rows = [list("abcdefghij"), list("abc"), list("abcd"), ["a"], []]
+    df = spark.createDataFrame([(r, i + 1) for i, r in enumerate(rows)], "b array<string>, w bigint")
+    got = sorted((r.w, r.item_a, r.item_b) for r in p6._pairs_of(df).collect())
+    assert got == sorted((i + 1, x, y) for i, r in enumerate(rows) for x, y in itertools.combinations(r, 2))
 
 
 def test_labels_and_empty(spark):
