@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -146,6 +146,8 @@ def results(extracted: DataFrame, spec: TaskSpec, keep: Sequence[str] = ()) -> D
 
 # ---- sequential extraction --------------------------------------------------------------------
 
+ANSWERS = "text_id string, chunk int, task string, model string, chunk_size int, raw string"
+
 
 class Fold(Protocol):
     """State carried from chunk to chunk of one text; sent to the workers."""
@@ -159,119 +161,197 @@ class Fold(Protocol):
     def finish(self, state: object) -> dict: ...
 
 
-def fold(passages: DataFrame, text_id: str, order: str, text: str, n_words: str, plan: Fold, provider: Provider, system: str = "", model: str = "rule", chunk: int = 10) -> DataFrame:
-    """(text_id, result JSON, n_passages, n_chunks, n_failed, elapsed): texts in parallel, the chunks of a text in order.
+def fold_answers(spark: SparkSession, path: str | None, task: str, model: str, chunk: int) -> DataFrame:
+    """(text_id, chunk, raw): the answers that a fold of this task, model and chunk size has already got."""
+    if path is None:
+        return spark.createDataFrame([], ANSWERS).select("text_id", "chunk", "raw")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], ANSWERS).select("text_id", "chunk", "raw")
+    mine = (F.col("task") == task) & (F.col("model") == model) & (F.col("chunk_size") == chunk)
+    return spark.read.schema(ANSWERS).parquet(path).filter(mine).groupBy("text_id", "chunk").agg(F.max("raw").alias("raw"))
+
+
+def fold(passages: DataFrame, text_id: str, order: str, text: str, n_words: str, plan: Fold, provider: Provider, system: str = "", model: str = "rule", chunk: int = 10, task: str = "fold", cache: str | None = None, calls: int | None = None) -> DataFrame:
+    """(text_id, result JSON, n_passages, n_chunks, n_failed, n_cached, elapsed): texts in parallel, the chunks of a text in order.
 
     A failed call or unreadable answer leaves the state as it was. The chunks of a text depend on one
     another, so one text is one group; a text is as long as a book.
+
+    With `cache`, answers are kept by task, text, chunk, model and chunk size (not by prompt), and a
+    text goes on after the last chunk that has an answer: the state is told again from the kept ones. `calls`
+    is the number of new answers a text may ask for before they are written; a lost executor costs no
+    more than that for each of its texts.
     """
-    kind = passages.schema[text_id].dataType.simpleString()
+    spark = passages.sparkSession
+    space = Workspace(spark, "fold")
+    rows = passages.select(F.col(text_id).cast("string").alias("k"), F.col(order).alias("o"), F.col(text).alias("x"), F.col(n_words).alias("n"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         began = time.monotonic()
-        rows = frame.sort_values("o", kind="stable").reset_index(drop=True)
-        state, failed, n = plan.start(), 0, -(-len(rows) // chunk)
-        for k in range(n):
-            start, end = k * chunk, min((k + 1) * chunk, len(rows))
-            body = "\n\n".join(f"--- P{i:03d} ({rows['n'][i]} words) ---\n{rows['x'][i]}" for i in range(start, end))
+        told = dict(zip(kept["chunk"], kept["raw"]))
+        frame = frame.sort_values("o", kind="stable")
+        texts, words = frame["x"].tolist(), frame["n"].tolist()
+        starts = range(0, len(texts), chunk)
+        state, failed, new = plan.start(), 0, []
+        for k, start in enumerate(starts):
+            end = min(start + chunk, len(texts))
+            raw = told.get(k)
+            if raw is None:
+                if calls is not None and len(new) >= calls:
+                    break
+                body = "\n\n".join(f"[{i}; {words[i]} words]\n{texts[i]}" for i in range(start, end))
+                try:
+                    raw = provider.call(f"{plan.context(state)}\n\nTEXT:\n{body}", system, model, 0.2, 8192)
+                except Exception:  # counted as failed below; it isn't kept, so another run asks again
+                    raw = None
+                new.append((k, raw))
             try:
-                answer = parse_json(provider.call(f"{plan.context(state)}\n\nPASSAGES:\n{body}", system, model, 0.2, 8192))
+                answer = parse_json(raw or "")
                 state = plan.step(state, answer if isinstance(answer, dict) else {}, start, end)
             except Exception:  # the chunk is counted as failed and the fold goes on
                 failed += 1
-        return pd.DataFrame({"k": [frame["k"].iloc[0]], "result": [json.dumps(plan.finish(state), ensure_ascii=False)], "n_passages": [len(rows)], "n_chunks": [n], "n_failed": [failed], "elapsed": [time.monotonic() - began]})
+        else:
+            k = len(starts)
+        done = k == len(starts)
+        out = [(key[0], c, raw, None, None, None, None, None, None) for c, raw in new if raw is not None]
+        out.append((key[0], None, None, json.dumps(plan.finish(state), ensure_ascii=False) if done else None, len(texts), len(starts), failed, len(told), time.monotonic() - began))
+        return pd.DataFrame(out, columns=["k", "chunk", "raw", "result", "n_passages", "n_chunks", "n_failed", "n_cached", "elapsed"])
+
+    schema = "k string, chunk int, raw string, result string, n_passages int, n_chunks int, n_failed int, n_cached int, elapsed double"
+    finished = None
+    while True:
+        kept = fold_answers(spark, cache, task, model, chunk).select(F.col("text_id").alias("k"), "chunk", "raw")
+        told = kept.join(rows.select("k").distinct(), "k", "left_semi")
+        out = space.keep(rows.groupBy("k").cogroup(told.groupBy("k")).applyInPandas(run, schema))
+        if cache is not None:
+            asked = out.filter("chunk IS NOT NULL").select(F.col("k").alias("text_id"), "chunk", F.lit(task).alias("task"), F.lit(model).alias("model"), F.lit(chunk).alias("chunk_size"), "raw")
+            asked.write.mode("append").parquet(cache)
+        ended = out.filter("chunk IS NULL AND result IS NOT NULL")
+        finished = ended if finished is None else finished.unionByName(ended)
+        if calls is None or cache is None:
+            break
+        # only texts with chunks left are read again
+        left = out.filter("chunk IS NULL AND result IS NULL").select("k")
+        if left.isEmpty():
+            break
+        rows = rows.join(left, "k", "left_semi")
+    kind = passages.schema[text_id].dataType.simpleString()
+    return finished.select(F.col("k").cast(kind).alias(text_id), "result", "n_passages", "n_chunks", "n_failed", "n_cached", "elapsed")
 
-    rows = passages.select(F.col(text_id).alias("k"), F.col(order).alias("o"), F.col(text).alias("x"), F.col(n_words).alias("n"))
-    out = rows.groupBy("k").applyInPandas(run, f"k {kind}, result string, n_passages int, n_chunks int, n_failed int, elapsed double")
-    return out.withColumnRenamed("k", text_id)
 
+def fold_report(folded: DataFrame) -> DataFrame:
+    """(texts, whole, with_failures, chunks, failed): how a batch of folds ended."""
+    return folded.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n_failed") == 0).alias("whole"), F.count_if(F.col("n_failed") > 0).alias("with_failures"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("n_failed"), F.lit(0)).alias("failed"))
 
-class Register:
-    """Characters of a story so far. Ids are C and a number; merging keeps the smaller number and the other's name as an alias.
 
-    Adding a known id again overwrites it and clears its aliases; merging a character with itself does nothing.
+class Cast:
+    """The people of a story, as disjoint sets of numbers. The smallest known number of a set stands for it.
+
+    A person's number may be written C7 or C07. Sets only grow: two people said to be one are joined, and
+    what the text calls the set is the entry of the number that stands for it, the other entries giving its
+    further names. Entering a number anew forgets the further names it had.
     """
 
     def __init__(self) -> None:
-        self.known: dict[str, dict] = {}
-        self.merged: dict[str, str] = {}
-        self.next = 1
+        self.entries: dict[int, dict] = {}
+        self.above: dict[int, int] = {}
+        self.names: dict[int, list[str]] = {}
 
     @staticmethod
-    def number(ident: object) -> int | None:
-        text = str(ident or "")
-        return int(text[1:]) if text[:1] == "C" and text[1:].isdigit() else None
+    def read(written: object) -> int | None:
+        found = re.fullmatch(r"C(\d+)", str(written))
+        return int(found.group(1)) if found else None
 
-    def add(self, entry: dict) -> None:
-        n = self.number(entry.get("id"))
-        if n is None:
+    @staticmethod
+    def write(number: int) -> str:
+        return f"C{number:02d}"
+
+    @property
+    def free(self) -> int:
+        """The next number that nobody has."""
+        return 1 + max([0, *self.entries, *self.above])
+
+    def stands(self, number: int) -> int:
+        path = []
+        while number in self.above:
+            path.append(number)
+            number = self.above[number]
+        for passed in path:  # later walks are one step
+            self.above[passed] = number
+        return number
+
+    def name(self, written: str) -> str:
+        number = self.read(written)
+        return written if number is None else self.write(self.stands(number))
+
+    def enter(self, entry: dict) -> None:
+        number = self.read(entry.get("id"))
+        if number is not None:
+            self.entries[number] = {k: v for k, v in entry.items() if k != "id"}
+            self.names[number] = []
+            self.above.pop(number, None)
+
+    def join(self, one: str, other: str) -> None:
+        numbers = [self.read(one), self.read(other)]
+        if None in numbers:
             return
-        self.next = max(self.next, n + 1)
-        empty = {"name": "?", "gender": "unknown", "class": "unknown", "notes": "", "intro_text": "", "descriptions": []}
-        self.known[entry["id"]] = {"id": entry["id"], **{k: entry.get(k, v) for k, v in empty.items()}, "aliases": []}
-
-    def resolve(self, ident: str) -> str:
-        passed = set()
-        while ident in self.merged and ident not in passed:
-            passed.add(ident)
-            ident = self.merged[ident]
-        return ident
-
-    def merge(self, a: str, b: str) -> None:
-        if a == b or (a not in self.known and b not in self.known):
+        low, high = sorted({self.stands(n) for n in numbers}) if self.stands(numbers[0]) != self.stands(numbers[1]) else (None, None)
+        if low is None or (low not in self.entries and high not in self.entries):
             return
-        if a in self.known and b in self.known:
-            keep, gone = sorted((a, b), key=lambda x: self.number(x))
-            name = self.known.pop(gone)["name"]
-            if name not in self.known[keep]["aliases"]:
-                self.known[keep]["aliases"].append(name)
-        else:
-            keep, gone = (a, b) if a in self.known else (b, a)
-        self.merged[gone] = keep
+        if low not in self.entries:  # whoever was entered stands for one who never was
+            low, high = high, low
+        self.above[high] = low
+        for further in [*([self.entries[high].get("name")] if high in self.entries else []), *self.names.pop(high, [])]:
+            if further and further not in self.names[low]:
+                self.names[low].append(further)
+
+    def people(self) -> list[dict]:
+        plain = {"name": "?", "gender": "unknown", "class": "unknown", "notes": "", "intro_text": "", "descriptions": []}
+        return [{"id": self.write(n), **plain, **self.entries[n], "aliases": list(self.names[n])} for n in sorted(self.entries) if n not in self.above]
+
+    def listed(self) -> str:
+        def one(p: dict) -> str:
+            also = f"; also {', '.join(p['aliases'])}" if p["aliases"] else ""
+            return f"- {p['id']} is {p['name']}: {p['gender']}, {p['class']}{also}"
 
-    def lines(self) -> str:
-        head = f"Next available ID: C{self.next:02d}"
-        if not self.known:
-            return head + "\n(No characters yet)"
-        rows = sorted(self.known.values(), key=lambda c: self.number(c["id"]))
-        return "\n".join([head] + [f"{c['id']}: {c['name']} ({c['gender']}, {c['class']})" + (f" / {', '.join(c['aliases'])}" if c["aliases"] else "") for c in rows])
+        return "\n".join([*map(one, self.people()), f"New people are numbered from {self.write(self.free)} on."])
+
+
+#: Lists that an answer may hold, with the keys of their items that name people.
+TOLD = {"relations": ("a", "b"), "events": ("who", "whom"), "dialogue": ("speaker", "addressee")}
 
 
 class StoryFold:
     """Characters, relations, events, dialogue and summaries of a story, chunk by chunk."""
 
     def start(self) -> dict:
-        return {"register": Register(), "relations": [], "events": [], "dialogue": [], "summaries": []}
+        return {"cast": Cast(), "told": {k: [] for k in TOLD}, "plot": []}
 
     def context(self, state: dict) -> str:
-        told = "\n\n".join(f"[P{s['start']:03d}-P{s['end']:03d}] {s['text']}" for s in state["summaries"]) or "(Beginning of novel)"
-        return f"CHARACTER REGISTER:\n{state['register'].lines()}\n\nSTORY SO FAR:\n{told}"
+        plot = "\n".join(f"{s['start']} to {s['end']}: {s['text']}" for s in state["plot"])
+        return f"People met so far:\n{state['cast'].listed()}\n\nWhat has happened:\n{plot or 'nothing yet, this is the opening'}"
 
     def step(self, state: dict, result: dict, start: int, end: int) -> dict:
-        register = state["register"]
-        for c in result.get("new_characters") or []:
-            register.add(c)
-        for r in result.get("relations") or []:
-            if r.get("a") and r.get("b") and r.get("type"):
-                r = r | {"a": register.resolve(r["a"]), "b": register.resolve(r["b"])}
-                if r["type"] == "same_as":
-                    register.merge(r["a"], r["b"])
-                state["relations"].append(r)
-        for name, ends in (("events", ("who", "whom")), ("dialogue", ("speaker", "addressee"))):
-            for e in result.get(name) or []:
-                state[name].append(e | {k: register.resolve(e[k]) for k in ends if e.get(k)})
+        cast = state["cast"]
+        for entry in result.get("new_characters") or []:
+            cast.enter(entry)
+        for kind, people in TOLD.items():
+            for item in result.get(kind) or []:
+                if kind == "relations" and not all(item.get(k) for k in ("a", "b", "type")):
+                    continue
+                item = {k: cast.name(v) if k in people and v else v for k, v in item.items()}
+                state["told"][kind].append(item)
+                if item.get("type") == "same_as" and kind == "relations":
+                    cast.join(item["a"], item["b"])
         if result.get("chunk_summary"):
-            state["summaries"].append({"start": start, "end": end - 1, "text": result["chunk_summary"]})
+            state["plot"].append({"start": start, "end": end - 1, "text": result["chunk_summary"]})
         return state
 
     def finish(self, state: dict) -> dict:
-        return {"characters": list(state["register"].known.values()), **{k: state[k] for k in ("relations", "events", "dialogue", "summaries")}}
+        return {"characters": state["cast"].people(), **state["told"], "summaries": state["plot"]}
 
 
 def shuffled(rows: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
     """Rows in a seeded order that every run repeats."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

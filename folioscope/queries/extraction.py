@@ -69,8 +69,8 @@ PARSE = "SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN -1 ELSE coalesce(n_chars,
 
 def story_rule(prompt: str) -> dict:
     """Characters of the passages in turn; every fourth name is said to be the one before it."""
-    found = sorted(set(re.findall(r"\b[A-Z][a-z]{8,}\b", prompt.rpartition("PASSAGES:")[2])))[:6]
-    start = int(re.search(r"ID: C(\d+)", prompt).group(1))
+    found = sorted(set(re.findall(r"\b[A-Z][a-z]{8,}\b", prompt.rpartition("TEXT:")[2])))[:6]
+    start = int(re.search(r"numbered from C(\d+)", prompt).group(1))
     new = [{"id": f"C{start + i:02d}", "name": n} for i, n in enumerate(found)]
     same = [{"a": new[i]["id"], "b": new[i - 1]["id"], "type": "same_as"} for i in range(3, len(new), 4)]
     met = [{"a": x["id"], "b": y["id"], "type": "meets"} for x, y in zip(new, new[1:])]

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,13 +7,13 @@ from pyspark.sql import functions as F
 from folioscope.plans import extract as E
 from folioscope.plans.task import Field, TaskSpec, parse_json, prefix_of, resolve_task, unwrap, validate
 
-ONE = TaskSpec("one", (Field("answer"), Field("confidence", "float")), retries=1)
-MANY = TaskSpec("many", (Field("name"), Field("role", "enum", ("hero", "villain"))), is_list=True, retries=0)
+ONE = TaskSpec("meter", (Field("feet", "int"), Field("verse")), retries=1)
+MANY = TaskSpec("ships", (Field("ship"), Field("rig", "enum", ("sloop", "brig"))), is_list=True, retries=0)
 
 
-@pytest.mark.parametrize("text", ['{"answer":"42","confidence":0.95}', '```json\n{"answer":"42","confidence":0.95}\n```', 'Here: {"answer":"42","confidence":0.95} ok?', "{'answer': '42', 'confidence': 0.95,}", '{answer: "42", confidence: 0.95', '{"answer":"42","confidence":0.95'])
+@pytest.mark.parametrize("text", ['{"feet": 5, "verse": "iamb"}', '```json\n{"feet": 5, "verse": "iamb"}\n```', 'I count {"feet": 5, "verse": "iamb"}, I think.', "{'feet': 5, 'verse': 'iamb',}", '{feet: 5, verse: "iamb"', '{"feet": 5, "verse": "iamb"'])
 def test_parse_json(text):
-    assert parse_json(text) == {"answer": "42", "confidence": 0.95}
+    assert parse_json(text) == {"feet": 5, "verse": "iamb"}
 
 
 def test_parse_fails_on_garbage():
@@ -21,13 +22,13 @@ def test_parse_fails_on_garbage():
 
 
 def test_unwrap_and_validate():
-    assert unwrap({"properties": {"answer": "x", "confidence": 1}}, ["answer", "confidence"]) == {"answer": "x", "confidence": 1}
-    assert unwrap({"answer": {"type": "string", "value": "x"}}, ["answer"]) == {"answer": "x"}
-    assert validate({"name": "A", "role": "hero"}, MANY) == [{"name": "A", "role": "hero"}]
-    with pytest.raises(ValueError, match="role"):
-        validate([{"name": "A", "role": "fool"}], MANY)
+    assert unwrap({"properties": {"feet": 4, "verse": "ode"}}, ["feet", "verse"]) == {"feet": 4, "verse": "ode"}
+    assert unwrap({"verse": {"type": "string", "value": "ode"}}, ["verse"]) == {"verse": "ode"}
+    assert validate({"ship": "Argo", "rig": "brig"}, MANY) == [{"ship": "Argo", "rig": "brig"}]
+    with pytest.raises(ValueError, match="rig"):
+        validate([{"ship": "Argo", "rig": "raft"}], MANY)
     with pytest.raises(ValueError, match="missing"):
-        validate({"answer": "x"}, ONE)
+        validate({"feet": 4}, ONE)
     assert prefix_of("passage-content-x") == "content_x."
     with pytest.raises(KeyError):
         resolve_task("no-such-task")
@@ -46,7 +47,7 @@ class Counting:
             f.write("x")
         if self.always_bad or (self.bad_first and not prompt.startswith("The last answer")):
             return "bad"
-        return json.dumps({"answer": prompt[-1:], "confidence": 1})
+        return json.dumps({"feet": 1, "verse": prompt[-1:]})
 
 
 def calls(path):
@@ -57,7 +58,7 @@ def test_cache_retry_and_failure(spark, tmp_path):
     log, cache = tmp_path / "log", str(tmp_path / "cache")
     df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "i int, prompt string")
     out = E.extract(df, ONE, Counting(str(log)), cache=cache).orderBy("i").collect()
-    assert [r.result.answer for r in out] == ["a", "b", "a"] and calls(log) == 2  # equal prompts are asked once
+    assert [r.result.verse for r in out] == ["a", "b", "a"] and calls(log) == 2  # equal prompts are asked once
     more = df.unionByName(spark.createDataFrame([(3, "c")], "i int, prompt string"))
     assert E.extract(more, ONE, Counting(str(log)), cache=cache).count() == 4 and calls(log) == 3
     assert E.extract(df, ONE, Counting(str(log)), cache=cache, force=True).count() == 3 and calls(log) == 5
@@ -77,43 +78,86 @@ def test_metadata_is_part_of_the_key(spark):
 
 def test_list_results_explode(spark):
     df = spark.createDataFrame([(0, "x"), (1, "y")], "i int, prompt string")
-    rule = E.RuleProvider(lambda p: [] if p.endswith("y") else [{"name": "A", "role": "hero"}, {"name": "B", "role": "villain"}])
+    rule = E.RuleProvider(lambda p: [] if p.endswith("y") else [{"ship": "Argo", "rig": "brig"}, {"ship": "Swan", "rig": "sloop"}])
     out = E.results(E.extract(df, MANY, rule), MANY, ["i"])
-    assert {(r.i, r.name, r.role) for r in out.collect()} == {(0, "A", "hero"), (0, "B", "villain")}
-
-
-def test_register():
-    r = E.Register()
-    for i, n in ((3, "Ann"), (1, "Bo"), (7, "Cy")):
-        r.add({"id": f"C{i}", "name": n})
-    r.add({"id": "x", "name": "no"})
-    r.merge("C3", "C1")
-    r.merge("C1", "C1")
-    r.merge("C9", "C7")
-    assert r.next == 8 and r.resolve("C3") == "C1" and r.resolve("C9") == "C7"
-    assert r.known["C1"]["aliases"] == ["Ann"] and list(r.known) == ["C1", "C7"]
-    r.add({"id": "C1", "name": "Bob"})
-    assert r.known["C1"]["aliases"] == []
-    assert r.lines().startswith("Next available ID: C08\nC1: Bob (unknown, unknown)")
-
-
-def test_fold_is_ordered_and_survives_failures(spark):
-    def rule(prompt):
-        body = prompt.rpartition("PASSAGES:")[2]
-        if "broken" in body:
-            return "no json"
-        name = body.split("\n")[2]
-        same = [{"a": "C03", "b": "C02", "type": "same_as"}] if name == "bbb" else []
-        return {"new_characters": [{"id": f"C{len(name):02d}", "name": name}], "relations": [*same, {"a": "C03", "b": "C09", "type": "meets"}], "chunk_summary": name}
-
-    rows = [("t", i, x, 1) for i, x in enumerate(["aa", "bbb", "broken", "cccc"])] + [("u", 0, "dd", 1)]
-    p = spark.createDataFrame(rows, "t string, o int, x string, n int").repartition(4)
-    out = {r.t: r for r in E.fold(p, "t", "o", "x", "n", E.StoryFold(), E.RuleProvider(rule), chunk=1).collect()}
-    doc = json.loads(out["t"].result)
-    assert (out["t"].n_chunks, out["t"].n_failed, out["u"].n_passages) == (4, 1, 1)
-    assert [c["name"] for c in doc["characters"]] == ["aa", "cccc"] and doc["characters"][0]["aliases"] == ["bbb"]
-    assert [r["a"] for r in doc["relations"] if r["type"] == "meets"] == ["C03", "C02", "C02"]
-    assert [s["text"] for s in doc["summaries"]] == ["aa", "bbb", "cccc"]
+    assert {(r.i, r.ship, r.rig) for r in out.collect()} == {(0, "Argo", "brig"), (0, "Swan", "sloop")}
+
+
+def test_cast_joins_sets():
+    c = E.Cast()
+    for n in (4, 2, 6, 9):
+        c.enter({"id": f"C{n}", "name": f"n{n}"})
+    c.enter({"id": "4", "name": "no number"})
+    c.join("C6", "C9")
+    c.join("C04", "C9")
+    c.join("C4", "C4")
+    c.join("C40", "C2")  # never entered: the known one stands for it
+    c.join("C50", "C51")
+    assert [(p["id"], p["name"], p["aliases"]) for p in c.people()] == [("C02", "n2", []), ("C04", "n4", ["n6", "n9"])]
+    assert [c.name(x) for x in ("C9", "C06", "C40", "C50", "Ishmael")] == ["C04", "C04", "C02", "C50", "Ishmael"]
+    assert c.free == 41 and c.listed().endswith("numbered from C41 on.")
+    c.enter({"id": "C4", "name": "anew"})
+    assert c.people()[1]["aliases"] == [] and c.name("C9") == "C04"
+
+
+def test_cast_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(30):
+        c, sets = E.Cast(), {n: {n} for n in range(1, 12)}
+        for n in sets:
+            c.enter({"id": f"C{n}", "name": str(n)})
+        for _ in range(8):
+            a, b = rng.randrange(1, 12), rng.randrange(1, 12)
+            c.join(f"C{a}", f"C{b}")
+            whole = sets[a] | sets[b]
+            sets.update(dict.fromkeys(whole, whole))
+        assert all(c.name(f"C{n}") == E.Cast.write(min(s)) for n, s in sets.items())
+        assert {p["id"]: sorted(map(int, [p["name"], *p["aliases"]])) for p in c.people()} == {E.Cast.write(min(s)): sorted(s) for s in sets.values()}
+
+
+class Scribe:
+    """Answers for the chunks of a story by their only word; counts its calls in a file."""
+
+    name = "scribe"
+
+    def __init__(self, path):
+        self.path = path
+
+    def call(self, prompt, system, model, temperature, max_tokens, image=None):
+        with open(self.path, "a") as f:
+            f.write("x")
+        word = prompt.rpartition("\n")[2]
+        if word == "blot":
+            return "illegible"
+        n = {"fox": 1, "owl": 2, "hen": 3}.get(word, 4)
+        same = [{"a": "C2", "b": "C1", "type": "same_as"}] if word == "owl" else []
+        return json.dumps({"new_characters": [{"id": f"C{n}", "name": word}], "relations": [*same, {"a": "C2", "b": "C3", "type": "fears"}, {"a": "C2", "type": "half"}], "chunk_summary": word})
+
+
+def story(spark):
+    rows = [("t", i, x, 1) for i, x in enumerate(["fox", "owl", "blot", "hen"])] + [("u", 0, "elk", 1)]
+    return spark.createDataFrame(rows, "t string, o int, x string, n int").repartition(4)
+
+
+def test_fold_is_ordered_and_survives_failures(spark, tmp_path):
+    out = E.fold(story(spark), "t", "o", "x", "n", E.StoryFold(), Scribe(str(tmp_path / "log")), chunk=1)
+    rows = {r.t: r for r in out.collect()}
+    doc = json.loads(rows["t"].result)
+    assert (rows["t"].n_chunks, rows["t"].n_failed, rows["u"].n_passages) == (4, 1, 1)
+    assert [(c["id"], c["name"], c["aliases"]) for c in doc["characters"]] == [("C01", "fox", ["owl"]), ("C03", "hen", [])]
+    assert [r["a"] for r in doc["relations"] if r["type"] == "fears"] == ["C02", "C01", "C01"]
+    assert [s["text"] for s in doc["summaries"]] == ["fox", "owl", "hen"]
+    assert tuple(E.fold_report(out).first()) == (2, 1, 1, 5, 1)
+
+
+def test_fold_goes_on_where_it_stopped(spark, tmp_path):
+    log, cache = tmp_path / "log", str(tmp_path / "answers")
+    once = E.fold(story(spark), "t", "o", "x", "n", E.StoryFold(), Scribe(str(log)), chunk=1, cache=cache, calls=1)
+    assert calls(log) == 5 and {r.t: r.n_cached for r in once.collect()} == {"t": 3, "u": 0}
+    again = E.fold(story(spark), "t", "o", "x", "n", E.StoryFold(), Scribe(str(log)), chunk=1, cache=cache)
+    assert calls(log) == 5 and {r.t: r.result for r in again.collect()} == {r.t: r.result for r in once.collect()}
+    E.fold(story(spark), "t", "o", "x", "n", E.StoryFold(), Scribe(str(log)), chunk=2, cache=cache)
+    assert calls(log) == 8  # another chunk size is another key
 
 
 def test_command_line(capsys):
