@@ -19,8 +19,11 @@ SMOOTH_FIELD = 6.0
 SMOOTH = 1.0
 #: Correlation of the errors of two annotators, given the truth, from which they count as one joint witness.
 DEPENDENT = 0.25
-#: Most annotators in one joint witness (its alphabet grows as the product of theirs).
+#: Most annotators whose joint answers have a matrix of their own (its alphabet grows as the product of theirs); of more
+#: dependent ones each keeps its matrix, and their votes weigh together as much as they are independent.
 JOINT = 3
+#: Votes by which a correlation is drawn toward none.
+SHRINK = 25.0
 
 
 #: Labels of a set that fit into the bits of one number.
@@ -48,178 +51,201 @@ class Scale:
         return [Question(f"{self.field}:{x}", self.field, ["false", "true"]) for x in self.labels] if self.many else [Question(self.field, self.field, list(self.labels))]
 
 
+class Votes:
+    """The votes of a block of answer patterns: for each vote its row, its annotator and its answer (1 + the place of the value)."""
+
+    def __init__(self, patterns: pd.Series):
+        self.size = len(patterns)
+        lengths = np.fromiter((len(p) for p in patterns), dtype=np.int64, count=self.size)
+        flat = np.concatenate(list(patterns)).astype(np.int64) if lengths.sum() else np.zeros(0, dtype=np.int64)
+        self.row, self.annotator, self.code = np.repeat(np.arange(self.size), lengths), flat >> 8, flat & 255
+
+    def total(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weights, minlength=self.size)
+
+
 class Model:
     """Confusion matrices: for each question and witness the chance of each answer given each true value.
 
-    A witness is one annotator, or several whose errors go together; the answers of a joint witness are
-    the combinations of theirs (0 = no answer).
+    A witness is one annotator, or up to JOINT whose errors go together; the answers of a joint witness are
+    the combinations of theirs (0 = no answer). The votes of more than JOINT dependent annotators are
+    weighted down to the number of independent voices among them.
     """
 
-    def __init__(self, questions: list[Question], annotators: int, witnesses: list[list[int]]):
-        self.questions, self.annotators, self.witnesses = questions, annotators, witnesses
+    def __init__(self, questions: list[Question], annotators: int, groups: list[tuple[list[int], float]]):
+        self.questions, self.annotators = questions, annotators
+        self.joint = [w for w, _ in groups if 1 < len(w) <= JOINT]
+        self.weight = np.ones(annotators)
+        for w, r in groups:
+            self.weight[w] = 0.0 if 1 < len(w) <= JOINT else 1 / (1 + (len(w) - 1) * max(r, 0.0))
         self.prior: list[np.ndarray] = []
+        self.single: list[np.ndarray] = []
         self.log: list[list[np.ndarray]] = []
-        need = sum(len(q.values) * (len(q.values) + 1) ** len(w) for q in questions for w in witnesses)
+        need = sum(len(q.values) * ((len(q.values) + 1) * annotators + sum((len(q.values) + 1) ** len(w) for w in self.joint)) for q in questions)
         if need > PARAMETERS:
             raise ValueError(f"{need} confusion parameters are more than {PARAMETERS}")
 
-    def symbol(self, answers: np.ndarray, k: int, w: list[int]) -> np.ndarray:
-        out = np.zeros(len(answers), dtype=np.int64)
-        for a in w:
-            out = out * (k + 1) + answers[:, a]
-        return out
+    def symbol(self, votes: Votes, k: int, w: list[int]) -> np.ndarray:
+        power = np.zeros(self.annotators)
+        power[w] = [float((k + 1) ** i) for i in range(len(w))]
+        return votes.total(votes.code * power[votes.annotator]).astype(np.int64)
 
-    def posterior(self, q: int, answers: np.ndarray) -> np.ndarray:
-        """Chance of each value per answer pattern (rows; 0 = no answer, v + 1 = value v)."""
+    def posterior(self, q: int, votes: Votes) -> np.ndarray:
+        """Chance of each value per answer pattern."""
         k = len(self.questions[q].values)
-        score = np.tile(np.log(self.prior[q]), (len(answers), 1))
-        for w, table in zip(self.witnesses, self.log[q]):
-            score += table[:, self.symbol(answers, k, w)].T
+        score = np.tile(np.log(self.prior[q]), (votes.size, 1))
+        weight = self.weight[votes.annotator]
+        for v in range(k):
+            score[:, v] += votes.total(weight * self.single[q][v, votes.annotator, votes.code])
+        for w, table in zip(self.joint, self.log[q]):
+            score += table[:, self.symbol(votes, k, w)].T
         score -= score.max(1, keepdims=True)
         p = np.exp(score)
         return p / p.sum(1, keepdims=True)
 
-
-def _decode(patterns: pd.Series, annotators: int) -> np.ndarray:
-    return np.array([np.frombuffer(bytes(p), dtype=np.uint8) for p in patterns], dtype=np.int64).reshape(-1, annotators)
+    def empty(self) -> list[list[np.ndarray]]:
+        """Sums of no votes: for each question the matrices of the single annotators, then those of the joint witnesses."""
+        return [[np.zeros((len(q.values), self.annotators, len(q.values) + 1)), *[np.zeros((len(q.values), (len(q.values) + 1) ** len(w))) for w in self.joint]] for q in self.questions]
 
 
 def _fit(model: Model, sums: list[list[np.ndarray]], priors: list[np.ndarray]) -> None:
     """M step: matrices from expected counts, smoothed toward their field's and toward a fair annotator."""
     fields: dict[tuple[str, int, int], np.ndarray] = {}
     for q, question in enumerate(model.questions):
-        for i in range(len(model.witnesses)):
+        # what an annotator didn't answer is what is left of all
+        sums[q][0][:, :, 0] = priors[q][:, None] - sums[q][0][:, :, 1:].sum(2)
+        for i, part in enumerate(sums[q]):
             key = (question.field, len(question.values), i)
-            fields[key] = fields.get(key, 0) + sums[q][i]
-    model.prior, model.log = [], []
+            fields[key] = fields.get(key, 0) + part
+    model.prior, model.single, model.log = [], [], []
     for q, question in enumerate(model.questions):
         k = len(question.values)
         model.prior.append((priors[q] + 1.0) / (priors[q] + 1.0).sum())
-        tables = []
-        for i, w in enumerate(model.witnesses):
-            pooled = fields[(question.field, k, i)].copy()
-            size = pooled.shape[1]
+        for i, w in enumerate([[0], *model.joint]):
+            size = (k + 1) ** len(w)
+            symbols = np.arange(size)[:, None] // (k + 1) ** np.arange(len(w)) % (k + 1)  # the answers in each symbol
             fair = np.full((k, size), 0.3 / size)
             for v in range(k):
-                for s in range(size):
-                    digits, rest = [], s
-                    for _ in w:
-                        digits.append(rest % (k + 1))
-                        rest //= k + 1
-                    said = [x for x in digits if x]
-                    if said and all(x == v + 1 for x in said):
-                        fair[v, s] += 0.7 / (2 ** len(w) - 1)
+                fair[v, ((symbols == v + 1) | (symbols == 0)).all(1) & (symbols > 0).any(1)] += 0.7 / (2 ** len(w) - 1)
             fair /= fair.sum(1, keepdims=True)
-            base = (pooled + SMOOTH * fair) / (pooled + SMOOTH * fair).sum(1, keepdims=True)
+            pooled = fields[(question.field, k, i)]
+            fair = fair[:, None, :] if i == 0 else fair
+            base = (pooled + SMOOTH * fair) / (pooled + SMOOTH * fair).sum(-1, keepdims=True)
             table = sums[q][i] + SMOOTH_FIELD * base
-            table = table / table.sum(1, keepdims=True)
             # what a witness leaves unanswered tells nothing: condition on which of its members answered
-            given = np.zeros_like(table)
-            masks: dict[tuple, list[int]] = {}
-            for s in range(size):
-                rest, mask = s, []
-                for _ in w:
-                    mask.append(rest % (k + 1) > 0)
-                    rest //= k + 1
-                masks.setdefault(tuple(mask), []).append(s)
-            for mask, columns in masks.items():
-                part = table[:, columns]
-                given[:, columns] = part / part.sum(1, keepdims=True) if any(mask) else 1.0
-            tables.append(np.log(np.maximum(given, 1e-12)))
-        model.log.append(tables)
-
-
-def _step(spark, patterns: DataFrame, model: Model) -> tuple[list[list[np.ndarray]], list[np.ndarray], float]:
-    """E step over all patterns in one job: each task returns the sums of its own patterns, whose number is that of the parameters."""
-    sizes = [[(len(q.values) + 1) ** len(w) for w in model.witnesses] for q in model.questions]
+            given = np.ones_like(table)
+            masks = (symbols > 0) @ (1 << np.arange(len(w)))
+            for mask in range(1, 1 << len(w)):
+                part = table[..., masks == mask]
+                given[..., masks == mask] = part / part.sum(-1, keepdims=True)
+            log = np.log(np.maximum(given, 1e-12))
+            if i == 0:
+                model.single.append(log)
+                model.log.append([])
+            else:
+                model.log[q].append(log)
+
+
+def _step(patterns: DataFrame, model: Model, target: Model) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
+    """E step over all patterns in one job: the posteriors of `model`, and the expected counts for the matrices of `target`.
+
+    Each task returns the sums of its own patterns; they are added up before they come to the driver, which
+    gets no more numbers than there are parameters.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list[np.ndarray]] = {}
         priors: dict[int, np.ndarray] = {}
-        fit = 0.0
         for frame in frames:
             for q, part in frame.groupby("q"):
                 k = len(model.questions[q].values)
-                answers, n = _decode(part["pattern"], model.annotators), part["n"].to_numpy(float)
-                p = model.posterior(q, answers)
-                weighted = p * n[:, None]
+                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
+                weighted = model.posterior(q, votes) * n[:, None]
                 priors[q] = priors.get(q, 0) + weighted.sum(0)
-                fit += float((weighted * np.log(np.maximum(p, 1e-300))).sum())
-                for i, w in enumerate(model.witnesses):
-                    s = model.symbol(answers, k, w)
-                    table = np.stack([np.bincount(s, weights=weighted[:, v], minlength=sizes[q][i]) for v in range(k)])
-                    mine = sums.setdefault(q, [0] * len(model.witnesses))
-                    mine[i] = mine[i] + table
-        rows = [(q, -1, 0, v, float(x)) for q, a in priors.items() for v, x in enumerate(a)]
-        rows += [(q, i, v, s, float(t[v, s])) for q, ts in sums.items() for i, t in enumerate(ts) for v, s in zip(*np.nonzero(t))]
-        rows.append((-1, -1, 0, 0, fit))
-        yield pd.DataFrame(rows, columns=["q", "i", "v", "s", "x"])
-
-    out = patterns.mapInPandas(run, "q int, i int, v int, s int, x double").groupBy("q", "i", "v", "s").agg(F.sum("x").alias("x")).collect()
-    sums = [[np.zeros((len(q.values), size)) for size in sizes[k]] for k, q in enumerate(model.questions)]
-    priors = [np.zeros(len(q.values)) for q in model.questions]
-    fit = 0.0
-    for q, i, v, s, x in out:
-        if q < 0:
-            fit = x
-        elif i < 0:
-            priors[q][s] += x
-        else:
-            sums[q][i][v, s] += x
-    return sums, priors, fit
-
-
-def _start(patterns: DataFrame, model: Model) -> None:
-    """First matrices: every annotator fair, so the first posterior is a smoothed majority."""
-    sums = [[np.zeros((len(q.values), (len(q.values) + 1) ** len(w))) for w in model.witnesses] for q in model.questions]
-    _fit(model, sums, [np.zeros(len(q.values)) for q in model.questions])
-
-
-def _em(patterns: DataFrame, model: Model, rounds: int, close: float) -> None:
-    before: list[list[np.ndarray]] | None = None
+                place = votes.annotator * (k + 1) + votes.code
+                tables = [np.stack([np.bincount(place, weights=weighted[votes.row, v], minlength=target.annotators * (k + 1)) for v in range(k)])]
+                for w in target.joint:
+                    s = target.symbol(votes, k, w)
+                    tables.append(np.stack([np.bincount(s, weights=weighted[:, v], minlength=(k + 1) ** len(w)) for v in range(k)]))
+                sums[q] = [x + y for x, y in zip(sums[q], tables)] if q in sums else tables
+        parts = [(q, -1, priors[q][None, :]) for q in priors] + [(q, i, t) for q, ts in sums.items() for i, t in enumerate(ts)]
+        for q, i, t in parts:
+            v, place = np.nonzero(t)
+            yield pd.DataFrame({"q": q, "i": i, "v": v, "s": place, "x": t[v, place]}).astype({"q": "int32", "i": "int32", "v": "int32"})
+
+    added = patterns.mapInPandas(run, "q int, i int, v int, s bigint, x double").groupBy("q", "i", "v", "s").agg(F.sum("x").alias("x")).toArrow()
+    q_, i_, v_, s_, x_ = (added.column(c).to_numpy() for c in ("q", "i", "v", "s", "x"))
+    sums, priors = target.empty(), [np.zeros(len(q.values)) for q in target.questions]
+    for q in range(len(target.questions)):
+        for i in range(-1, 1 + len(target.joint)):
+            mine = (q_ == q) & (i_ == i)
+            if i < 0:
+                priors[q][s_[mine]] = x_[mine]
+            else:
+                table = sums[q][i].reshape(sums[q][i].shape[0], -1)
+                table[v_[mine], s_[mine]] = x_[mine]
+    return sums, priors
+
+
+def _em(patterns: DataFrame, model: Model, rounds: int, close: float, first: Model | None = None) -> None:
+    """Fits `model`, from the posteriors of `first`, else from a smoothed majority (every annotator fair)."""
+    if first is None:
+        _fit(model, model.empty(), [np.zeros(len(q.values)) for q in model.questions])
+    before: list[np.ndarray] | None = None
     for _ in range(rounds):
-        sums, priors, _ = _step(patterns.sparkSession, patterns, model)
+        sums, priors = _step(patterns, first or model, model)
+        first = None
         _fit(model, sums, priors)
-        if before is not None:
-            moved = max(float(np.abs(np.exp(a) - np.exp(b)).max()) for x, y in zip(before, model.log) for a, b in zip(x, y))
-            if moved < close:
-                break
-        before = model.log
+        after = [np.exp(t) for x, ys in zip(model.single, model.log) for t in (x, *ys)]
+        if before is not None and max(float(np.abs(a - b).max()) for a, b in zip(before, after)) < close:
+            break
+        before = after
 
 
-def _witnesses(patterns: DataFrame, model: Model) -> list[list[int]]:
-    """Annotators whose errors are correlated given the consensus become one joint witness."""
+def _dependent(patterns: DataFrame, model: Model) -> list[tuple[list[int], float]]:
+    """(annotators, mean correlation): groups of annotators whose errors are correlated given the consensus, on average over all pairs of a group."""
     a = model.annotators
+    if a < 2:
+        return [([i], 0.0) for i in range(a)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((a, a, 6))
+        total = np.zeros((4, a, a))
         for frame in frames:
             for q, part in frame.groupby("q"):
-                answers, n = _decode(part["pattern"], a), part["n"].to_numpy(float)
-                p = model.posterior(q, answers)
-                said = answers > 0
-                right = np.take_along_axis(p, np.maximum(answers - 1, 0), 1)
+                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
+                p = model.posterior(q, votes)
                 # chance to err here that the model expects of each annotator, over the possible truths
-                expected = np.zeros((len(answers), a))
-                for i, w in enumerate(model.witnesses):
-                    if len(w) == 1:
-                        good = np.exp(np.array([model.log[q][i][v, v + 1] for v in range(p.shape[1])]))
-                        expected[:, w[0]] = 1 - p @ good
-                residual = np.where(said, (1 - right) - expected, 0.0)
-                for i in range(a):
-                    for j in range(i + 1, a):
-                        both = said[:, i] & said[:, j]
-                        x, y, m = residual[both, i], residual[both, j], n[both]
-                        total[i, j] += [(m * x * y).sum(), (m * x * x).sum(), (m * y * y).sum(), m.sum(), 0, 0]
-        yield pd.DataFrame([(i, j, *map(float, total[i, j, :4])) for i in range(a) for j in range(i + 1, a)], columns=["i", "j", "xy", "xx", "yy", "m"])
-
-    rows = patterns.mapInPandas(run, "i int, j int, xy double, xx double, yy double, m double").groupBy("i", "j").agg(F.sum("xy"), F.sum("xx"), F.sum("yy"), F.sum("m")).collect() if a > 1 else []
-    strong = sorted(((xy / np.sqrt(xx * yy), i, j) for i, j, xy, xx, yy, m in rows if m >= 50 and xx > 0 and yy > 0), reverse=True)
-    group = list(range(a))
-    for r, i, j in strong:
-        if r >= DEPENDENT and group[i] != group[j] and group.count(group[i]) + group.count(group[j]) <= JOINT:
-            group = [group[i] if g == group[j] else g for g in group]
-    return [[i for i in range(a) if group[i] == g] for g in sorted(set(group))]
+                good = np.exp(np.stack([model.single[q][v, :, v + 1] for v in range(p.shape[1])]))
+                right = p[votes.row, np.maximum(votes.code - 1, 0)]
+                expected = 1 - (p[votes.row] * good[:, votes.annotator].T).sum(1)
+                residual, said = np.zeros((votes.size, a)), np.zeros((votes.size, a))
+                residual[votes.row, votes.annotator] = (1 - right) - expected
+                said[votes.row, votes.annotator] = 1.0
+                weighted, squared = residual * n[:, None], residual**2
+                total += np.stack([weighted.T @ residual, (squared * n[:, None]).T @ said, said.T @ (squared * n[:, None]), (said * n[:, None]).T @ said])
+        i, j = np.nonzero(np.triu(total[3], 1))
+        yield pd.DataFrame({"i": i, "j": j, "xy": total[0][i, j], "xx": total[1][i, j], "yy": total[2][i, j], "m": total[3][i, j]}).astype({"i": "int32", "j": "int32"})
+
+    rows = patterns.mapInPandas(run, "i int, j int, xy double, xx double, yy double, m double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "m")]).toArrow().to_pandas()
+    r = np.zeros((a, a))
+    scale = np.sqrt(rows["xx"].to_numpy() * rows["yy"].to_numpy())
+    m = rows["m"].to_numpy()
+    r[rows["i"], rows["j"]] = np.where(scale > 0, rows["xy"].to_numpy() / np.maximum(scale, 1e-300), 0.0) * m / (m + SHRINK)
+    r = r + r.T
+    groups = [[i] for i in range(a)]
+    between = r.copy()
+    np.fill_diagonal(between, -1.0)
+    while len(groups) > 1:  # the two groups most alike on average are joined
+        i, j = np.unravel_index(between.argmax(), between.shape)
+        if between[i, j] < DEPENDENT:
+            break
+        i, j = min(i, j), max(i, j)
+        mean = (between[i] * len(groups[i]) + between[j] * len(groups[j])) / (len(groups[i]) + len(groups[j]))
+        groups[i] += groups.pop(j)
+        between[i, :] = between[:, i] = mean
+        between = np.delete(np.delete(between, j, 0), j, 1)
+        np.fill_diagonal(between, -1.0)
+    return [(sorted(g), float(r[np.ix_(g, g)].sum() / (len(g) * (len(g) - 1))) if len(g) > 1 else 0.0) for g in groups]
 
 
 def _code(scale: Scale) -> Column:
@@ -243,8 +269,8 @@ def consensus(votes: DataFrame, scales: list[Scale], least: int = 3, rounds: int
     `item` is any one column; value holds one label of the field's scale, or a set of labels. Items with
     fewer than `least` annotators are left out. Label posteriors and the confusion matrix of every
     annotator are estimated by expectation-maximisation with smoothing, each label of a set as a question
-    of its own; annotators whose errors go together given the truth are estimated as one joint witness,
-    so a copy of an annotator adds no weight. Items with the same answers are one pattern with a count, so
+    of its own; annotators whose errors go together given the truth are estimated as one joint witness (more
+    than JOINT of them by votes weighted down to their independent voices), so a copy of an annotator adds no weight. Items with the same answers are one pattern with a count, so
     an iteration costs the number of patterns; only expected counts, as many as there are parameters, come
     to the driver, and their number is checked. Agreement (Krippendorff's alpha, nominal) is computed from
     the votes alone, apart from the model.
@@ -290,52 +316,52 @@ def consensus(votes: DataFrame, scales: list[Scale], least: int = 3, rounds: int
         )
     index = spark.createDataFrame([(x, i) for i, x in enumerate(annotators)], f"annotator {kind}, a int")
     per_item = coded.join(F.broadcast(index), "annotator").groupBy("item", "field").agg(F.collect_list(F.struct("a", "c")).alias("v"))
-    asked = F.array_distinct(F.transform("v", lambda x: x["a"]))
-    per_item = per_item.withColumn("k", F.size(asked)).filter(F.col("k") >= least)
-    # one row per question: a byte per annotator, 0 for no answer; the votes of an item are grouped once, its labels are made here
+    # of several votes of one annotator the greatest code counts: the last one of the sorted votes
+    per_item = per_item.select("item", "field", F.explode(F.array(F.array_sort("v"))).alias("v"))
+    last = F.filter("v", lambda x, i: (i + 1 == F.size("v")) | (F.get("v", i + 1)["a"] != x["a"]))
+    per_item = per_item.select("item", "field", F.explode(F.array(last)).alias("m")).withColumn("k", F.size("m")).filter(F.col("k") >= least)
+    # one row per question: its votes as annotator and answer in one number; the votes of an item are grouped once, its labels are made here
     ask = None
     for scale in scales:
         mine = [(i, p) for i, p in enumerate(parts) if p.field == scale.field]
         rows = F.array(*[F.struct(F.lit(first[i] + j).alias("q"), F.lit(n).alias("part"), F.lit(j if p.many else -1).alias("bit")) for n, (i, p) in enumerate(mine) for j in range(len(p.labels) if p.many else 1)])
         ask = F.when(F.col("field") == scale.field, rows) if ask is None else ask.when(F.col("field") == scale.field, rows)
-    latest = F.map_from_entries(F.transform(asked, lambda a: F.struct(a.alias("key"), F.array_max(F.transform(F.filter("v", lambda x: x["a"] == a), lambda x: x["c"])).alias("value"))))
-    spread = per_item.select("item", "k", F.explode(F.array(latest)).alias("m"), ask.alias("ask")).select("item", "k", "m", F.inline("ask"))
-    said = lambda i: F.try_element_at("m", i)[F.col("part")]
-    answer = lambda i: F.when(F.col("bit") < 0, said(i)).otherwise(said(i).bitwiseAND(F.expr("shiftleft(1L, greatest(bit, 0))")).cast("boolean").cast("bigint") + 1)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.lpad(F.hex(F.coalesce(answer(i), F.lit(0)).cast("bigint")), 2, "0")), "")
-    items = space.keep(spread.select("item", "q", F.unhex(text).alias("pattern"), F.col("k").alias("annotators")))
-    patterns = space.keep(items.groupBy("q", "pattern").agg(F.count(F.lit(1)).alias("n")))
-    model = Model(questions, width, [[i] for i in range(width)])
-    _start(patterns, model)
-    _em(patterns, model, rounds, close)
-    witnesses = _witnesses(patterns, model)
-    if len(witnesses) < width:
-        model = Model(questions, width, witnesses)
-        _start(patterns, model)
-        _em(patterns, model, rounds, close)
+    spread = per_item.select("item", "k", "m", F.inline(ask))
+    said = lambda x: x["c"][F.col("part")]
+    answer = lambda x: F.when(F.col("bit") < 0, said(x)).otherwise(F.expr("shiftleft(1L, greatest(bit, 0))").bitwiseAND(said(x)).cast("boolean").cast("int") + 1)
+    items = space.keep(spread.select("item", "q", F.transform("m", lambda x: x["a"] * 256 + answer(x).cast("int")).alias("pattern"), F.col("k").alias("annotators")))
+    space.drop(coded)
+    patterns = space.keep(items.groupBy("q", "pattern").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("q"))
+    alone = Model(questions, width, [([i], 0.0) for i in range(width)])
+    _em(patterns, alone, rounds, close)
+    groups = _dependent(patterns, alone)
+    model = alone
+    if len(groups) < width:
+        model = Model(questions, width, groups)
+        _em(patterns, model, rounds, close, first=alone)
     names = [q.name for q in questions]
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for q, part in frame.groupby("q"):
-                p = model.posterior(q, _decode(part["pattern"], width))
+                p = model.posterior(q, Votes(part["pattern"]))
                 best = p.argmax(1)
                 yield pd.DataFrame({"q": part["q"], "pattern": part["pattern"], "question": names[q], "value": [questions[q].values[b] for b in best], "posterior": p.max(1)})
 
-    decided = space.keep(patterns.mapInPandas(decide, "q int, pattern binary, question string, value string, posterior double"))
+    decided = space.keep(patterns.mapInPandas(decide, "q int, pattern array<int>, question string, value string, posterior double"))
     labels = items.join(decided, ["q", "pattern"]).select("item", "question", "value", "posterior", "annotators")
 
     def confusion(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
             for q, part in frame.groupby("q"):
-                codes, n = _decode(part["pattern"], width), part["n"].to_numpy(float)
-                p = model.posterior(q, codes) * n[:, None]
+                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
+                p = model.posterior(q, votes) * n[:, None]
                 k = p.shape[1]
-                for a in range(width):
-                    said = codes[:, a] > 0
-                    table = np.stack([np.bincount(codes[said, a] - 1, weights=p[said, v], minlength=k) for v in range(k)])
-                    rows[(q, a)] = rows.get((q, a), 0) + table
+                place = votes.annotator * k + votes.code - 1
+                table = np.stack([np.bincount(place, weights=p[votes.row, v], minlength=width * k) for v in range(k)]).reshape(k, width, k)
+                for a in np.unique(votes.annotator).tolist():
+                    rows[(q, a)] = rows.get((q, a), 0) + table[:, a]
         yield pd.DataFrame([(names[q], annotators[a], questions[q].values[v], questions[q].values[s], float(t[v, s])) for (q, a), t in rows.items() for v in range(len(t)) for s in range(len(t))], columns=["question", "annotator", "truth", "said", "n"])
 
     matrices = space.keep(patterns.mapInPandas(confusion, f"question string, annotator {kind}, truth string, said string, n double").groupBy("question", "annotator", "truth", "said").agg(F.sum("n").alias("n")))
@@ -347,8 +373,8 @@ def consensus(votes: DataFrame, scales: list[Scale], least: int = 3, rounds: int
         for frame in frames:
             for q, part in frame.groupby("q"):
                 k = len(questions[q].values)
-                codes, n = _decode(part["pattern"], width), part["n"].to_numpy(float)
-                counts = np.stack([(codes == v + 1).sum(1) for v in range(k)], 1).astype(float)
+                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
+                counts = np.stack([votes.total((votes.code == v + 1).astype(float)) for v in range(k)], 1)
                 m = counts.sum(1)
                 ok = m > 1
                 c, w, m = counts[ok], n[ok], m[ok]
@@ -368,5 +394,5 @@ def consensus(votes: DataFrame, scales: list[Scale], least: int = 3, rounds: int
         observed, chance = t[0] / total, float((n * (n - 1)).sum() / (total * (total - 1)))
         agreed.append((questions[q].field, names[q], float((observed - chance) / (1 - chance)) if chance < 1 else None, float(observed), float(chance), float(t.get(1, 0.0))))
     agreement = spark.createDataFrame(agreed, "field string, question string, alpha double, observed double, chance double, items double")
-    dependence = spark.createDataFrame([(str(annotators[i]), str(annotators[w[0]])) for w in witnesses for i in w], "annotator string, witness string")
+    dependence = spark.createDataFrame([(str(annotators[i]), str(annotators[w[0]])) for w, _ in groups for i in w], "annotator string, witness string")
     return labels, reliability, agreement, dependence

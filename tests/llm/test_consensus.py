@@ -70,3 +70,19 @@ def test_many_labels(spark):
     rows = [(i, "s", a, [f"l{i}", "l69"]) for i in range(5) for a in "abc"]
     labels, *_ = run(spark, rows, [Scale("s", names, True)], rounds=3)
     assert {(r.item, r.question) for r in labels.collect() if r.value == "true"} == {(i, q) for i in range(5) for q in (f"s:l{i}", "s:l69")}
+
+
+def test_four_copies_add_no_weight(spark):
+    """Four copies of one weak annotator, more than a joint matrix holds, against three good ones."""
+    rng = random.Random(7)
+    truth = {i: rng.choice(["x", "y"]) for i in range(900)}
+    flip = {"x": "y", "y": "x"}
+    rows = []
+    for i, t in truth.items():
+        bad = t if rng.random() < 0.75 else flip[t]
+        rows += [(i, "f", f"copy{k}", [bad if rng.random() < 0.98 else flip[bad]]) for k in range(4)]
+        rows += [(i, "f", f"good{k}", [t if rng.random() < 0.9 else flip[t]]) for k in range(6)]
+    labels, _, _, dependence = run(spark, rows, [Scale("f", ("x", "y"))])
+    groups = {r.annotator: r.witness for r in dependence.collect()}
+    assert len({groups[f"copy{k}"] for k in range(4)}) == 1 and len(set(groups.values())) == 7
+    assert sum(truth[r.item] == r.value for r in labels.collect()) / 900 > 0.95
