@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,16 +54,30 @@ class Scale:
 class Votes:
     """The votes of a block of answer patterns: for each vote its row, its annotator and its answer (1 + the place of the value)."""
 
-    def __init__(self, patterns: pd.Series):
+    def __init__(self, patterns: pa.ListArray):
         self.size = len(patterns)
-        lengths = np.fromiter((len(p) for p in patterns), dtype=np.int64, count=self.size)
-        flat = np.concatenate(list(patterns)).astype(np.int64) if lengths.sum() else np.zeros(0, dtype=np.int64)
+        lengths, flat = patterns.value_lengths().to_numpy(), patterns.flatten().to_numpy().astype(np.int64)
         self.row, self.annotator, self.code = np.repeat(np.arange(self.size), lengths), flat >> 8, flat & 255
 
     def total(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=weights, minlength=self.size)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Votes, np.ndarray]]:
+    """(question, rows, votes, counts) for each run of one question in the batches, which are sorted by question."""
+    for batch in batches:
+        q = batch.column("q").to_numpy()
+        bounds = np.flatnonzero(np.diff(q, prepend=q[:1] - 1)) if len(q) else []
+        for start, end in zip(bounds, [*bounds[1:], len(q)]):
+            part = batch.slice(start, end - start)
+            yield int(q[start]), part, Votes(part.column("pattern")), part.column("n").to_numpy().astype(float)
+
+
+def _table(schema: str, **columns) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    return pa.RecordBatch.from_pydict({k: pa.array(np.asarray(columns[k]), kinds[t]) for k, t in (c.split() for c in schema.split(", "))})
+
+
 class Model:
     """Confusion matrices: for each question and witness the chance of each answer given each true value.
 
@@ -153,27 +167,27 @@ def _step(patterns: DataFrame, model: Model, target: Model) -> tuple[list[list[n
     gets no more numbers than there are parameters.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "q int, i int, v int, s bigint, x double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
         priors: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for q, part in frame.groupby("q"):
-                k = len(model.questions[q].values)
-                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
-                weighted = model.posterior(q, votes) * n[:, None]
-                priors[q] = priors.get(q, 0) + weighted.sum(0)
-                place = votes.annotator * (k + 1) + votes.code
-                tables = [np.stack([np.bincount(place, weights=weighted[votes.row, v], minlength=target.annotators * (k + 1)) for v in range(k)])]
-                for w in target.joint:
-                    s = target.symbol(votes, k, w)
-                    tables.append(np.stack([np.bincount(s, weights=weighted[:, v], minlength=(k + 1) ** len(w)) for v in range(k)]))
-                sums[q] = [x + y for x, y in zip(sums[q], tables)] if q in sums else tables
+        for q, _, votes, n in _blocks(batches):
+            k = len(model.questions[q].values)
+            weighted = model.posterior(q, votes) * n[:, None]
+            priors[q] = priors.get(q, 0) + weighted.sum(0)
+            place = votes.annotator * (k + 1) + votes.code
+            tables = [np.stack([np.bincount(place, weights=weighted[votes.row, v], minlength=target.annotators * (k + 1)) for v in range(k)])]
+            for w in target.joint:
+                s = target.symbol(votes, k, w)
+                tables.append(np.stack([np.bincount(s, weights=weighted[:, v], minlength=(k + 1) ** len(w)) for v in range(k)]))
+            sums[q] = [x + y for x, y in zip(sums[q], tables)] if q in sums else tables
         parts = [(q, -1, priors[q][None, :]) for q in priors] + [(q, i, t) for q, ts in sums.items() for i, t in enumerate(ts)]
         for q, i, t in parts:
             v, place = np.nonzero(t)
-            yield pd.DataFrame({"q": q, "i": i, "v": v, "s": place, "x": t[v, place]}).astype({"q": "int32", "i": "int32", "v": "int32"})
+            yield _table(schema, q=np.full(len(v), q), i=np.full(len(v), i), v=v, s=place, x=t[v, place])
 
-    added = patterns.mapInPandas(run, "q int, i int, v int, s bigint, x double").groupBy("q", "i", "v", "s").agg(F.sum("x").alias("x")).toArrow()
+    added = patterns.mapInArrow(run, schema).groupBy("q", "i", "v", "s").agg(F.sum("x").alias("x")).toArrow()
     q_, i_, v_, s_, x_ = (added.column(c).to_numpy() for c in ("q", "i", "v", "s", "x"))
     sums, priors = target.empty(), [np.zeros(len(q.values)) for q in target.questions]
     for q in range(len(target.questions)):
@@ -208,25 +222,25 @@ def _dependent(patterns: DataFrame, model: Model) -> list[tuple[list[int], float
     if a < 2:
         return [([i], 0.0) for i in range(a)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "i int, j int, xy double, xx double, yy double, m double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, a, a))
-        for frame in frames:
-            for q, part in frame.groupby("q"):
-                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
-                p = model.posterior(q, votes)
-                # chance to err here that the model expects of each annotator, over the possible truths
-                good = np.exp(np.stack([model.single[q][v, :, v + 1] for v in range(p.shape[1])]))
-                right = p[votes.row, np.maximum(votes.code - 1, 0)]
-                expected = 1 - (p[votes.row] * good[:, votes.annotator].T).sum(1)
-                residual, said = np.zeros((votes.size, a)), np.zeros((votes.size, a))
-                residual[votes.row, votes.annotator] = (1 - right) - expected
-                said[votes.row, votes.annotator] = 1.0
-                weighted, squared = residual * n[:, None], residual**2
-                total += np.stack([weighted.T @ residual, (squared * n[:, None]).T @ said, said.T @ (squared * n[:, None]), (said * n[:, None]).T @ said])
+        for q, _, votes, n in _blocks(batches):
+            p = model.posterior(q, votes)
+            # chance to err here that the model expects of each annotator, over the possible truths
+            good = np.exp(np.stack([model.single[q][v, :, v + 1] for v in range(p.shape[1])]))
+            right = p[votes.row, np.maximum(votes.code - 1, 0)]
+            expected = 1 - (p[votes.row] * good[:, votes.annotator].T).sum(1)
+            residual, said = np.zeros((votes.size, a)), np.zeros((votes.size, a))
+            residual[votes.row, votes.annotator] = (1 - right) - expected
+            said[votes.row, votes.annotator] = 1.0
+            weighted, squared = residual * n[:, None], residual**2 * n[:, None]
+            total += np.stack([weighted.T @ residual, squared.T @ said, said.T @ squared, (said * n[:, None]).T @ said])
         i, j = np.nonzero(np.triu(total[3], 1))
-        yield pd.DataFrame({"i": i, "j": j, "xy": total[0][i, j], "xx": total[1][i, j], "yy": total[2][i, j], "m": total[3][i, j]}).astype({"i": "int32", "j": "int32"})
+        yield _table(schema, i=i, j=j, xy=total[0][i, j], xx=total[1][i, j], yy=total[2][i, j], m=total[3][i, j])
 
-    rows = patterns.mapInPandas(run, "i int, j int, xy double, xx double, yy double, m double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "m")]).toArrow().to_pandas()
+    rows = patterns.mapInArrow(run, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "m")]).toArrow().to_pandas()
     r = np.zeros((a, a))
     scale = np.sqrt(rows["xx"].to_numpy() * rows["yy"].to_numpy())
     m = rows["m"].to_numpy()
@@ -341,49 +355,47 @@ def consensus(votes: DataFrame, scales: list[Scale], least: int = 3, rounds: int
         _em(patterns, model, rounds, close, first=alone)
     names = [q.name for q in questions]
 
-    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for q, part in frame.groupby("q"):
-                p = model.posterior(q, Votes(part["pattern"]))
-                best = p.argmax(1)
-                yield pd.DataFrame({"q": part["q"], "pattern": part["pattern"], "question": names[q], "value": [questions[q].values[b] for b in best], "posterior": p.max(1)})
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, part, votes, _ in _blocks(batches):
+            p = model.posterior(q, votes)
+            values = pa.array([questions[q].values[b] for b in p.argmax(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("q"), part.column("pattern"), pa.array([names[q]] * len(p), pa.string()), values, pa.array(p.max(1))], ["q", "pattern", "question", "value", "posterior"])
 
-    decided = space.keep(patterns.mapInPandas(decide, "q int, pattern array<int>, question string, value string, posterior double"))
+    decided = space.keep(patterns.mapInArrow(decide, "q int, pattern array<int>, question string, value string, posterior double"))
     labels = items.join(decided, ["q", "pattern"]).select("item", "question", "value", "posterior", "annotators")
 
-    def confusion(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def confusion(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[tuple[int, int], np.ndarray] = {}
-        for frame in frames:
-            for q, part in frame.groupby("q"):
-                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
-                p = model.posterior(q, votes) * n[:, None]
-                k = p.shape[1]
-                place = votes.annotator * k + votes.code - 1
-                table = np.stack([np.bincount(place, weights=p[votes.row, v], minlength=width * k) for v in range(k)]).reshape(k, width, k)
-                for a in np.unique(votes.annotator).tolist():
-                    rows[(q, a)] = rows.get((q, a), 0) + table[:, a]
-        yield pd.DataFrame([(names[q], annotators[a], questions[q].values[v], questions[q].values[s], float(t[v, s])) for (q, a), t in rows.items() for v in range(len(t)) for s in range(len(t))], columns=["question", "annotator", "truth", "said", "n"])
-
-    matrices = space.keep(patterns.mapInPandas(confusion, f"question string, annotator {kind}, truth string, said string, n double").groupBy("question", "annotator", "truth", "said").agg(F.sum("n").alias("n")))
-    rows = matrices.groupBy("question", "annotator", "truth").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("truth") == F.col("said"), F.col("n")).otherwise(0.0)).alias("good"))
+        for q, _, votes, n in _blocks(batches):
+            p = model.posterior(q, votes) * n[:, None]
+            k = p.shape[1]
+            place = votes.annotator * k + votes.code - 1
+            table = np.stack([np.bincount(place, weights=p[votes.row, v], minlength=width * k) for v in range(k)]).reshape(k, width, k)
+            for a in np.unique(votes.annotator).tolist():
+                rows[(q, a)] = rows.get((q, a), 0) + table[:, a]
+        cells = [(q, a, v, s, float(t[v, s])) for (q, a), t in rows.items() for v in range(len(t)) for s in range(len(t))]
+        yield _table("q int, a int, v int, s int, n double", **{c: [x[i] for x in cells] for i, c in enumerate(("q", "a", "v", "s", "n"))})
+
+    matrices = space.keep(patterns.mapInArrow(confusion, "q int, a int, v int, s int, n double").groupBy("q", "a", "v", "s").agg(F.sum("n").alias("n")))
+    asked_ = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "q int, question string")
+    rows = matrices.groupBy("q", "a", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v") == F.col("s"), F.col("n")).otherwise(0.0)).alias("good"))
+    rows = rows.join(F.broadcast(asked_), "q").join(F.broadcast(index), "a")
     reliability = rows.groupBy("annotator", "question").agg(F.sum("n").alias("votes"), (F.sum("good") / F.nullif(F.sum("n"), F.lit(0.0))).alias("accuracy"), (F.avg(F.col("good") / F.nullif(F.col("n"), F.lit(0.0)))).alias("informedness"))
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for q, part in frame.groupby("q"):
-                k = len(questions[q].values)
-                votes, n = Votes(part["pattern"]), part["n"].to_numpy(float)
-                counts = np.stack([votes.total((votes.code == v + 1).astype(float)) for v in range(k)], 1)
-                m = counts.sum(1)
-                ok = m > 1
-                c, w, m = counts[ok], n[ok], m[ok]
-                same = ((c * (c - 1)).sum(1) / (m - 1) * w).sum()
-                out[q] = out.get(q, 0) + np.concatenate([[same, w.sum()], (c * w[:, None]).sum(0)])
-        yield pd.DataFrame([(int(q), i, float(x)) for q, a in out.items() for i, x in enumerate(a)], columns=["q", "i", "x"])
+        for q, _, votes, n in _blocks(batches):
+            counts = np.stack([votes.total((votes.code == v + 1).astype(float)) for v in range(len(questions[q].values))], 1)
+            m = counts.sum(1)
+            ok = m > 1
+            c, w, m = counts[ok], n[ok], m[ok]
+            same = ((c * (c - 1)).sum(1) / (m - 1) * w).sum()
+            out[q] = out.get(q, 0) + np.concatenate([[same, w.sum()], (c * w[:, None]).sum(0)])
+        cells = [(q, i, float(x)) for q, a in out.items() for i, x in enumerate(a)]
+        yield _table("q int, i int, x double", **{c: [x[i] for x in cells] for i, c in enumerate(("q", "i", "x"))})
 
     tallies: dict[int, dict[int, float]] = {}
-    for q, i, x in patterns.mapInPandas(pairs, "q int, i int, x double").groupBy("q", "i").agg(F.sum("x")).collect():
+    for q, i, x in patterns.mapInArrow(pairs, "q int, i int, x double").groupBy("q", "i").agg(F.sum("x")).collect():
         tallies.setdefault(q, {})[i] = x
     agreed = []
     for q, t in tallies.items():
