@@ -102,10 +102,17 @@ def mix(sized: DataFrame, key: str, size: str, source: str, targets: list[tuple[
     lines = steps.join(F.broadcast(sure), "source").withColumn("before", F.sum("gain").over(upto) - F.col("gain"))
     last = lines.filter(F.col("sure") + F.col("before") <= F.col("goal")).groupBy("source").agg(F.max("step").alias("edge"), F.max_by(F.col("goal") - F.col("sure") - F.col("before"), "step").alias("open"))
     last = space.keep(last)
-    placed = drawn.join(F.broadcast(last), "source", "left")
-    inside = placed.filter(F.col("step") == F.col("edge")).withColumn("sum", F.sum("tokens").over(Window.partitionBy("source").orderBy("lot", "key")))
-    inside = inside.withColumn("extra", (F.col("sum") - F.col("tokens") / 2 <= F.col("open")).cast("int"))
-    outside = placed.filter(~F.coalesce(F.col("step") == F.col("edge"), F.lit(False))).withColumn("extra", F.coalesce((F.col("step") < F.col("edge")).cast("int"), F.lit(0)))
+    # the edge step of each source is divided once more, so that what is settled document by document is 1 / STEPS squared of it
+    fine = F.floor(F.pmod((F.col("lot") + 1) * F.lit(STEPS / 2), F.lit(1.0)) * STEPS).cast("int")
+    placed = drawn.join(F.broadcast(last), "source", "left").withColumn("fine", F.when(F.col("step") == F.col("edge"), fine))
+    parts = placed.filter("fine IS NOT NULL").groupBy("source", "fine").agg(F.sum("tokens").alias("gain"), F.first("open").alias("open"))
+    finer = parts.withColumn("before", F.sum("gain").over(Window.partitionBy("source").orderBy("fine")) - F.col("gain"))
+    close = space.keep(finer.filter(F.col("before") <= F.col("open")).groupBy("source").agg(F.max("fine").alias("brink"), F.max_by(F.col("open") - F.col("before"), "fine").alias("rest")))
+    placed = placed.join(F.broadcast(close), "source", "left")
+    inside = placed.filter(F.col("fine") == F.col("brink")).withColumn("sum", F.sum("tokens").over(Window.partitionBy("source").orderBy("lot", "key")))
+    inside = inside.withColumn("extra", (F.col("sum") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
+    within = (F.col("step") < F.col("edge")) | ((F.col("step") == F.col("edge")) & (F.col("fine") < F.col("brink")))
+    outside = placed.filter(~F.coalesce(F.col("fine") == F.col("brink"), F.lit(False))).withColumn("extra", F.coalesce(within.cast("int"), F.lit(0)))
     columns = ["key", "source", "tokens", "rate", (F.col("floor") + F.col("extra")).alias("copies")]
     chosen = space.keep(inside.select(*columns).unionByName(outside.select(*columns)).filter("copies > 0"))
     reached = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))

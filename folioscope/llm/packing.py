@@ -11,6 +11,8 @@ from folioscope.runtime import Workspace
 #: Tokens and rows that one packing task gets at most on average; a task keeps only ids and sizes in memory.
 SHARD_TOKENS = 16_000_000
 SHARD_ROWS = 60_000
+#: Equally tight containers among which one without the item's source is looked for.
+LOOK = 32
 
 
 def fingerprint(text: Column) -> Column:
@@ -24,7 +26,9 @@ class Bins:
 
     `level[r]` lists the containers with r tokens left; the bits of `levels` mark the levels that are in
     use, so the successor of a size is one shift. Each container carries a bitmap of the duplicate
-    clusters, and one of the sources, that it holds.
+    clusters, and one of the sources, that it holds: a container with a cluster of the item is never
+    compatible, nor one with its source if the item is barred from it; of equally tight compatible
+    containers one that doesn't hold the source yet is taken, so that sources mix.
     """
 
     def __init__(self, capacity: int):
@@ -62,16 +66,29 @@ class Bins:
         self.sources.append(0)
         return len(self.held) - 1
 
-    def best(self, size: int, bit: int, source: int) -> int:
+    def pick(self, bins: list[int], bit: int, source: int, barred: bool) -> int:
+        """The place in `bins` of a compatible container, without the source if there is one among the last LOOK; -1 if none is compatible."""
+        found = -1
+        for place in range(len(bins) - 1, -1, -1):
+            b = bins[place]
+            if self.held[b] & bit or (barred and self.sources[b] & source):
+                continue
+            if not self.sources[b] & source:
+                return place
+            found = place if found < 0 else found
+            if len(bins) - place >= LOOK:
+                break
+        return found
+
+    def best(self, size: int, bit: int, source: int, barred: bool = False) -> int:
         """Puts one item into the tightest compatible container, a new one if none is compatible."""
         left = self.successor(size)
         while left >= 0:
-            bins = self.level[left]
-            for place in range(len(bins) - 1, -1, -1):
-                if not (self.held[bins[place]] & bit):
-                    b = self.take(left, place)
-                    self.put(b, left, size, bit, source)
-                    return b
+            place = self.pick(self.level[left], bit, source, barred)
+            if place >= 0:
+                b = self.take(left, place)
+                self.put(b, left, size, bit, source)
+                return b
             left = self.successor(left + 1)
         b = self.open()
         self.put(b, self.capacity, size, bit, source)
@@ -114,7 +131,6 @@ def fill(items: pd.DataFrame, capacity: int, exclusive: frozenset = frozenset())
     many = items["cluster"].value_counts()
     bits = {c: 1 << i for i, c in enumerate(sorted(many[many > 1].index))}
     names = {s: 1 << i for i, s in enumerate(sorted(items["source"].fillna("").unique()))}
-    shut = {s: 1 << (len(bits) + i) for i, s in enumerate(sorted(exclusive))}
     clusters, sources = items["cluster"].tolist(), items["source"].fillna("").tolist()
     order = sorted(range(len(items)), key=lambda i: (-sizes[i], clusters[i] if clusters[i] == clusters[i] and clusters[i] is not None else -(2**63), items.index[i]))
     bins, out, i = Bins(capacity), [0] * len(items), 0
@@ -122,7 +138,7 @@ def fill(items: pd.DataFrame, capacity: int, exclusive: frozenset = frozenset())
         k = order[i]
         bit = bits.get(clusters[k], 0)
         run = 1
-        if bit and not shut:
+        if bit and not exclusive:
             while i + run < len(order) and sizes[order[i + run]] == sizes[k] and clusters[order[i + run]] == clusters[k]:
                 run += 1
         if run > 1:
@@ -130,7 +146,7 @@ def fill(items: pd.DataFrame, capacity: int, exclusive: frozenset = frozenset())
             for g, b in zip(group, bins.spread(int(sizes[k]), bit, [names[sources[g]] for g in group])):
                 out[g] = b
         else:
-            out[k] = bins.best(int(sizes[k]), bit | shut.get(sources[k], 0), names[sources[k]])
+            out[k] = bins.best(int(sizes[k]), bit, names[sources[k]], sources[k] in exclusive)
         i += run
     return out
 
