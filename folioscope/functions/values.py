@@ -50,15 +50,19 @@ def as_float(c: Column) -> Column:
     return F.when(percent, number / 100).otherwise(number)
 
 
-def as_label(c: Column, key_to_label: dict[str, str]) -> Column:
-    """The vocabulary label of which `c` is a spelling, else null."""
-    if not key_to_label:
+def _labels(key_to_label: dict[str, str] | Column) -> Column:
+    return key_to_label if isinstance(key_to_label, Column) else F.create_map(*[F.lit(x) for pair in key_to_label.items() for x in pair])
+
+
+def as_label(c: Column, key_to_label: dict[str, str] | Column) -> Column:
+    """The vocabulary label of which `c` is a spelling, else null; the vocabulary may be a map column."""
+    if isinstance(key_to_label, dict) and not key_to_label:
         return F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for pair in key_to_label.items() for x in pair])
+    table = _labels(key_to_label)
     return F.try_element_at(table, name_key(c))
 
 
-def as_label_list(c: Column, key_to_label: dict[str, str]) -> Column:
+def as_label_list(c: Column, key_to_label: dict[str, str] | Column) -> Column:
     """Sorted distinct vocabulary labels of a complete list, else null.
 
     Accepted: a bracketed list with items in double, single or no quotes separated by commas, or bare
@@ -70,7 +74,7 @@ def as_label_list(c: Column, key_to_label: dict[str, str]) -> Column:
     inner = F.when(bracketed, F.regexp_replace(v, r"^\[\s*|\s*\]$", "")).otherwise(v)
     items = F.split(inner, r"\s*[,;|]\s*")
     quoted = F.transform(items, lambda x: F.regexp_replace(x, r"""^"([^"]*)"$|^'([^']*)'$""", "$1$2"))
-    table = F.create_map(*[F.lit(x) for pair in key_to_label.items() for x in pair])
+    table = _labels(key_to_label)
     # quotes that are left over, and brackets inside, make an item no label
     labels = F.transform(quoted, lambda x: F.when(~x.rlike(r"""["'\[\]{}]"""), F.try_element_at(table, name_key(x))))
     empty = F.array().cast("array<string>")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from folioscope.functions import values as V
 
 KINDS = {"bool": "boolean", "int": "bigint", "float": "double", "enum": "string", "str": "string", "list": "array<string>"}
 SLOTS = ("boolean", "bigint", "double", "string", "array<string>")
+#: Ordinals that one partition owns.
+RANGE = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -57,16 +60,16 @@ def latest(facts: DataFrame, keys: list[str], order: str, value: str) -> DataFra
 def _stitch(keys: list[str], attributes: list[Attribute], out_schema: pa.Schema):
     """Assembles columns by position from a partition that is sorted by entity.
 
-    Each entity of the partition gets the next ordinal. For every attribute an array over the ordinal
-    range holds the row from which that entity's cell comes; the column is then taken from the typed
-    source column in one step.
+    Partition p owns the global ordinals from p * RANGE on; its entities get them in their order. For every
+    attribute an array over the range of ordinals at hand holds the row from which that entity's cell
+    comes; the column is then taken from the typed source column in one step.
     """
     slot = [SLOTS.index(KINDS[a.kind]) for a in attributes]
 
-    def assemble(table: pa.Table, ordinal: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    def assemble(table: pa.Table, first: int, ordinal: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
         n, attr = len(starts), table.column("_a").to_numpy(zero_copy_only=False)
         rows = np.arange(len(attr))
-        columns = [table.column(k).combine_chunks().take(pa.array(starts)) for k in keys]
+        columns = [pa.array(np.arange(first, first + n)), *[table.column(k).combine_chunks().take(pa.array(starts)) for k in keys]]
         sources = [table.column(f"_v{i}").combine_chunks() for i in range(len(SLOTS))]
         for k, s in enumerate(slot):
             mine = attr == k
@@ -77,6 +80,7 @@ def _stitch(keys: list[str], attributes: list[Attribute], out_schema: pa.Schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+        first = TaskContext.get().partitionId() * RANGE
         for batch in batches:
             part = pa.Table.from_batches([batch])
             table = part if rest is None else pa.concat_tables([rest, part])
@@ -91,18 +95,19 @@ def _stitch(keys: list[str], attributes: list[Attribute], out_schema: pa.Schema)
             last = starts[-1]  # this entity may go on in the next batch
             rest = table.slice(last)
             if last:
-                yield assemble(table.slice(0, last), (np.cumsum(change) - 1)[:last], starts[:-1])
+                yield assemble(table.slice(0, last), first, (np.cumsum(change) - 1)[:last], starts[:-1])
+                first += len(starts) - 1
         if rest is not None and rest.num_rows:
-            yield assemble(rest, np.zeros(rest.num_rows, dtype=np.int64), np.zeros(1, dtype=np.int64))
+            yield assemble(rest, first, np.zeros(rest.num_rows, dtype=np.int64), np.zeros(1, dtype=np.int64))
 
     return run
 
 
-def widen(facts: DataFrame, keys: list[str], attribute: str, value: str, order: str, attributes: list[Attribute]) -> DataFrame:
-    """One row per entity with one typed column per declared attribute.
+def widen(facts: DataFrame, keys: list[str], attribute: str, value: str, order: str, attributes: list[Attribute], ordinal: str | None = None) -> DataFrame:
+    """One row per entity with one typed column per declared attribute; with `ordinal`, also the entity's global ordinal under that name.
 
     Rows are sent to the partition of their entity once and sorted there; each partition then owns a
-    range of entity ordinals and writes every attribute as a typed column aligned to that range
+    range of global entity ordinals and writes every attribute as a typed column aligned to that range
     (see `_stitch`), so neither a pivot aggregate per attribute nor a second shuffle is needed.
 
     Defined cases: a null value counts as not written; of the writes for one cell the one with the
@@ -120,25 +125,30 @@ def widen(facts: DataFrame, keys: list[str], attribute: str, value: str, order:
     number = F.try_element_at(F.create_map(*[F.lit(x) for p in index.items() for x in p]), V.name_key(F.col(attribute))) if index else F.lit(None).cast("int")
     written = facts.select(
         *[F.col(k).alias(i) for k, i in zip(keys, internal)],
-        F.when(F.col(value).isNotNull(), F.coalesce(number, F.lit(-1))).otherwise(-1).alias("_a"),
+        F.when(F.col(value).isNotNull(), F.coalesce(number, F.lit(-1))).otherwise(-1).cast("int").alias("_a"),
         F.col(order).alias("_o"),
         F.col(value).cast("string").alias("_v"),
     )
     cells = latest(written.repartition(*internal), [*internal, "_a"], "_o", "_v")
+    # what is declared of an attribute is joined in (one row each), so an expression is as long as the kinds are many
+    known = facts.sparkSession.createDataFrame([(i, a.kind, V.label_keys(list(a.vocabulary))) for i, a in enumerate(attributes)], "_a int, _kind string, _keys map<string,string>")
+    v, kind = F.col("_v"), F.col("_kind")
+    readers = {"bool": V.as_bool(v), "int": V.as_int(v), "float": V.as_float(v), "enum": V.as_label(v, F.col("_keys")), "list": F.when(F.size("_keys") > 0, V.as_label_list(v, F.col("_keys"))), "str": F.nullif(V.squeeze(v), F.lit(""))}
     typed = []
     for i, slot in enumerate(SLOTS):
         expression = F.lit(None).cast(slot)
-        for k, a in reversed(list(enumerate(attributes))):
-            if KINDS[a.kind] == slot:
-                expression = F.when(F.col("_a") == k, a.parse(F.col("_v")).cast(slot)).otherwise(expression)
+        for k, reader in readers.items():
+            if KINDS[k] == slot:
+                expression = F.when(kind == k, reader.cast(slot)).otherwise(expression)
         typed.append(expression.alias(f"_v{i}"))
-    rows = cells.sortWithinPartitions(*internal, "_a").select(*internal, "_a", *typed)
+    rows = cells.join(F.broadcast(known), "_a", "left").sortWithinPartitions(*internal, "_a").select(*internal, "_a", *typed)
     schema = T.StructType(
-        [T.StructField(i, facts.schema[k].dataType) for k, i in zip(keys, internal)]
+        [T.StructField("_ordinal", T.LongType())]
+        + [T.StructField(i, facts.schema[k].dataType) for k, i in zip(keys, internal)]
         + [T.StructField(a.name, T._parse_datatype_string(KINDS[a.kind])) for a in attributes]
     )
     wide = rows.mapInArrow(_stitch(internal, attributes, to_arrow_schema(schema)), schema)
-    return wide.select(*[F.col(i).alias(k) for k, i in zip(keys, internal)], *[F.col(f"`{a.name}`") for a in attributes])
+    return wide.select(*([F.col("_ordinal").alias(ordinal)] if ordinal else []), *[F.col(i).alias(k) for k, i in zip(keys, internal)], *[F.col(f"`{a.name}`") for a in attributes])
 
 
 def cells(wide: DataFrame, keys: list[str], attributes: list[Attribute]) -> DataFrame:

@@ -48,8 +48,16 @@ t AS (SELECT _id, scheme, seq, field, CASE kind
   WHEN 'enum' THEN CASE WHEN list_contains(vocab_keys, vk) THEN vocabulary[list_position(vocab_keys, vk)] END
   WHEN 'str' THEN nullif(v, '')
   WHEN 'list' THEN CASE WHEN len(list_filter(item_keys, lambda x: NOT list_contains(vocab_keys, x))) = 0 AND item_keys IS NOT NULL
-       THEN array_to_string(list_sort(list_distinct(list_transform(item_keys, lambda x: vocabulary[list_position(vocab_keys, x)]))), '|') END END AS value FROM l)
+       THEN array_to_string(list_sort(list_distinct(list_transform(item_keys, lambda x: vocabulary[list_position(vocab_keys, x)]))), '|') END END AS value,
+  CASE WHEN kind = 'float' AND regexp_full_match(rtrim(rtrim(lv, '%')), '[+-]?(\d+([.,]\d*)?|[.,]\d+)(e[+-]?\d+)?')
+       THEN TRY_CAST(replace(rtrim(rtrim(lv, '%')), ',', '.') AS DOUBLE) / CASE WHEN lv LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END END AS share FROM l)
 """
-FOUND_SQL = _CELLS + "SELECT * FROM t WHERE value IS NOT NULL"
+FOUND_SQL = _CELLS + "SELECT _id, scheme, seq, field, value FROM t WHERE value IS NOT NULL"
+#: The fields of the task, as task_fields declares them.
+FIELDS = {"confidence": "float", "devices": "list", "dialogue_share": "float", "gloss": "str", "has_footnote": "bool", "is_epistolary": "bool", "is_framed": "bool", "mean_sentence_len": "float", "n_asides": "int", "n_speakers": "int", "opening_words": "str", "person": "enum", "tense": "enum", "verse_share": "float", "word_total": "int"}
+_TYPED = {"bool": "CAST(max(value) FILTER (field = '{0}') AS BOOLEAN)", "int": "CAST(max(value) FILTER (field = '{0}') AS BIGINT)", "float": "max(share) FILTER (field = '{0}')"}
+WIDE_SQL = _CELLS + "SELECT e._id, e.scheme, e.seq, " + ", ".join(_TYPED.get(kind, "max(value) FILTER (field = '{0}')").format(name) + f' AS "{name}"' for name, kind in FIELDS.items()) + """
+FROM (SELECT DISTINCT _id, scheme, seq FROM passage_annotations WHERE task = 'passage-form') e
+LEFT JOIN t ON t._id IS NOT DISTINCT FROM e._id AND t.scheme IS NOT DISTINCT FROM e.scheme AND t.seq IS NOT DISTINCT FROM e.seq GROUP BY ALL"""
 QUERIES = {"p3_found": p3_found, "p3_wide": p3_wide}
-ORACLES = {"p3_found": FOUND_SQL}
+ORACLES = {"p3_found": FOUND_SQL, "p3_wide": WIDE_SQL}

@@ -86,3 +86,26 @@ def test_brute_force_over_batches(spark):
 def test_cells_round_trip(spark):
     table = W.widen(spark.createDataFrame([("x", "share", "1", at(1), ""), ("x", "tags", "[]", at(1), ""), ("x", "ok", "0", at(1), "")], SCHEMA), ["id"], "field", "value", "at", ATTRS)
     assert {(r.field, r.value) for r in W.cells(table, ["id"], ATTRS).collect()} == {("share", "1.0000"), ("tags", ""), ("ok", "false")}
+
+
+def test_ordinals_are_global(spark):
+    rows = [(f"e{i % 40}", "n", str(i), at(1), "") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = [(r.o, r.id) for r in W.widen(df, ["id"], "field", "value", "at", ATTRS, ordinal="o").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({o for o, _ in out}) == len(out) == 40
+    ranges = {}
+    for o, i in sorted(out):
+        ranges.setdefault(o // W.RANGE, []).append((o % W.RANGE, i))
+    # within the range of a partition the ordinals are dense and follow the entities
+    assert all([o for o, _ in r] == list(range(len(r))) and [i for _, i in r] == sorted(i for _, i in r) for r in ranges.values())
+
+
+def test_many_attributes(spark):
+    many = [W.Attribute(f"a{i}", ("enum", "int", "list")[i % 3], ("x", "y")) for i in range(600)]
+    rows = [("e", f"a{i}", ("X", "7", "[x]")[i % 3], at(1), "") for i in range(600)]
+    out = W.widen(spark.createDataFrame(rows, SCHEMA), ["id"], "field", "value", "at", many).first()
+    assert all(out[f"a{i}"] == ("x", 7, ["x"])[i % 3] for i in range(600))
