@@ -54,5 +54,15 @@ def predict_pool(s, d):
     return E.predict(_emb(s, d), ["vec_id"], "embedding", E.fit(rows, ["vec_id"], "embedding", names), {"even": 0.5, "tags__c0": 0.7})
 
 
-QUERIES = {"mean_pool": mean_pool, "center_by_group": center_by_group, "evaluate_classifiers": evaluate_classifiers, "calibrate_thresholds": calibrate_thresholds, "predict_pool": predict_pool}
-ORACLES = {"mean_pool": MEAN, "center_by_group": CENTER}
+def load_labelled(s, d):
+    e = _emb(s, d).select(F.concat(F.lit("w"), F.pmod("vec_id", F.lit(400)).cast("string")).alias("_id"), F.col("vec_id").alias("seq"), "embedding")
+    labels = e.filter(F.pmod("seq", F.lit(3)) > 0).select("_id", "seq", (F.pmod("seq", F.lit(2)) == 0).alias("even"))
+    languages = e.select("_id").distinct().select("_id", F.when(F.pmod(F.substring("_id", 2, 9).cast("int"), F.lit(4)) == 0, "fr").when(F.pmod(F.substring("_id", 2, 9).cast("int"), F.lit(4)) == 1, "en").alias("lang"))
+    return E.load(labels, e, ["_id", "seq"], languages).select("_id", "seq", "even", "lang_fr", F.size("embedding").alias("width"))
+
+
+LOAD = """SELECT 'w' || vec_id % 400 AS _id, vec_id AS seq, vec_id % 2 = 0 AS even, CAST(vec_id % 400 % 4 = 0 AS INT) AS lang_fr, CAST(len(embedding) + 1 AS INT) AS width FROM embeddings WHERE vec_id % 3 > 0"""
+
+
+QUERIES = {"load_labelled": load_labelled, "mean_pool": mean_pool, "center_by_group": center_by_group, "evaluate_classifiers": evaluate_classifiers, "calibrate_thresholds": calibrate_thresholds, "predict_pool": predict_pool}
+ORACLES = {"load_labelled": LOAD, "mean_pool": MEAN, "center_by_group": CENTER}

@@ -32,7 +32,7 @@ def test_classifiers_find_a_linear_rule(spark):
     report = {r.target: r for r in E.evaluate(scored).collect()}
     assert report["b"].accuracy > 0.93 and report["b"].auc > 0.98 and report["l__never"].note and report["l__never"].auc is None
     # at the optimum the gradient of half the squared weights plus the losses vanishes
-    z = np.hstack([(x.astype(np.float32).astype(float) - model.mean) / model.scale, np.ones((300, 1))])
+    z = model.design(x.astype(np.float32))
     y = np.array([r[2] for r in rows], dtype=float)
     p = 1 / (1 + np.exp(-z @ model.weights[0]))
     assert np.abs(z.T @ (p - y) + np.append(model.weights[0][:-1], 0)).max() < 1e-5
@@ -41,3 +41,24 @@ def test_classifiers_find_a_linear_rule(spark):
     pool = E.predict(df, ["k"], "e", model, {"b": cut["b"].threshold})
     right = pool.join(df.select("k", "b"), "k").agg(F.avg((F.col("predicted") == F.col("b")).cast("double"))).first()[0]
     assert pool.count() == 300 and right > 0.93
+
+
+def test_wide_vectors_and_folds(spark):
+    """1,024 dimensions and a dozen targets: the curvature follows the axes, not the dimension; folds have equal shares of positives."""
+    rng = np.random.default_rng(3)
+    basis = rng.normal(size=(6, 1024))
+    z = rng.normal(size=(300, 6))
+    x = z @ basis + 0.01 * rng.normal(size=(300, 1024))
+    rows = [(i, v.tolist(), [float(z[i, j % 6] > j / 12) for j in range(12)]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, e array<float>, targets array<double>").repartition(3)
+    names = [f"t{j}" for j in range(12)]
+    model = E.fit(df, ["k"], "e", names, axes=20)
+    assert model.axes.shape == (1024, 20) and model.weights.shape == (12, 21)
+    report = {r.target: r for r in E.evaluate(E.held_out(df, ["k"], "e", model)).collect()}
+    assert min(r.accuracy for r in report.values()) > 0.9
+    folds = np.array([r.fold for r in E.with_folds(df, ["k"], 5).orderBy("k").collect()])
+    y = np.array([r[2] for r in rows])
+    for j in range(12):
+        counts = np.bincount(folds[y[:, j] == 1, j], minlength=5)
+        assert counts.max() - counts.min() <= 1
+    assert set(E.trusted(E.evaluate(E.held_out(df, ["k"], "e", model)), 0.0, 0.0)) == set(names)
