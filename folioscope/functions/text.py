@@ -217,3 +217,10 @@ def base_url(backend: str, environ: Mapping[str, str] | None = None, default: st
     """Address of a local server: of the backend, else the general one, else the default."""
     env = os.environ if environ is None else environ
     return env.get(f"{backend.upper()}_BASE_URL") or env.get("LOCAL_BASE_URL") or default
+
+
+def recognised(estimated: Column, year: Column, author: Column, first_name: Column) -> Column:
+    """Whether a model seems to know a text: its year is the catalogue's, and the author is unnamed or has the first name it gave."""
+    given = F.lower(F.trim(first_name))
+    nameless = F.coalesce(F.trim(author), F.lit("")).rlike(r"(?i)^(anon(ymous)?\.?|unknown)?$")
+    return F.coalesce((estimated == year) & (nameless | ((given != "") & F.contains(F.lower(author), given))), F.lit(False))

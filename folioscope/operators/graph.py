@@ -284,3 +284,88 @@ def merge_register(members: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("id", "name", "notes")))
     g = members.groupBy("graph_id", "root").agg(listed.alias("m"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
     return g.select("graph_id", "root", F.col("m")[0]["name"].alias("name"), F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x: x["name"]).alias("aliases"), "first_seen", "last_seen", F.concat_ws("; ", F.filter(F.transform("m", lambda x: x["notes"]), lambda x: x.isNotNull() & (x != ""))).alias("notes"))
+
+
+def components(links: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(graph_id, id, root) for every node: root is the smallest id that it is linked with, directly or indirectly, within its graph.
+
+    Every round each node takes the smallest root among its neighbours and then the root of that root, so
+    the rounds grow with the logarithm of a chain. Nodes and links stay distributed whatever the size of a
+    graph; each round is written, so lost executors cost no more than a round.
+
+    Defined cases: links with a null end or an end that is no node of the graph link nothing; repeated,
+    reversed and self links change nothing; an empty table gives an empty one.
+    """
+    space = Workspace(links.sparkSession, "components")
+    labels = space.keep(nodes.select("graph_id", "id").distinct().withColumn("root", F.col("id")))
+    ends = _known(links.select("graph_id", F.col(a).alias("a"), F.col(b).alias("b")), nodes).filter("a <> b").select("graph_id", "a", "b")
+    ways = space.keep(ends.unionByName(ends.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    while True:
+        # also the root of a node hears of the smaller root, so whole trees move at once
+        near = ways.join(labels.select("graph_id", F.col("id").alias("b"), "root"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        own = labels.join(near, ["graph_id", "id"], "left").withColumn("new", F.least("root", "near"))
+        offers = space.keep(own.select("graph_id", "id", "root", F.coalesce("new", "root").alias("new")))
+        told = offers.filter("new < root").groupBy("graph_id", F.col("root").alias("id")).agg(F.min("new").alias("told"))
+        step = space.keep(offers.join(told, ["graph_id", "id"], "left").select("graph_id", "id", "root", F.least("new", F.coalesce("told", "new")).alias("new")))
+        jump = step.select("graph_id", F.col("id").alias("new"), F.col("new").alias("far"))
+        after, seen = space.keep(step.join(jump, ["graph_id", "new"]).select("graph_id", "id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), F.coalesce(F.sum(F.col("moved").cast("bigint")), F.lit(0)).alias("moved"))
+        space.drop(labels, offers, step)
+        labels = after.drop("moved")
+        labels._workspace_path = after._workspace_path
+        if not seen["moved"]:
+            return labels
+
+
+def register(characters: DataFrame, relations: DataFrame) -> DataFrame:
+    """Characters (graph_id, id, name, seen, notes) merged by the same_as relations among them, under the smallest id (see `merge_register`)."""
+    roots = components(relations.filter("type = 'same_as'"), characters)
+    return merge_register(characters.join(roots, ["graph_id", "id"]))
+
+
+def profiles(networks: Mapping[str, tuple[DataFrame, bool]], nodes: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """One row per graph with the measures of several networks over the same nodes, each under its prefix (e.g. `dialogue_density`).
+
+    The networks of one direction are profiled as one table of graphs, so their number adds rows and no passes.
+    """
+    parts = []
+    for way in sorted({d for _, d in networks.values()}):
+        edges = members = None
+        for name, (network, is_directed) in networks.items():
+            if is_directed != way:
+                continue
+            tag = F.concat(F.lit(name + "\x01"), F.col("graph_id").cast("string")).alias("graph_id")
+            e, n = network.select(tag, "a", "b"), nodes.select(tag, "id")
+            edges, members = (e, n) if edges is None else (edges.unionByName(e), members.unionByName(n))
+        parts.append(profile(edges, members, way).select("graph_id", *measures))
+    whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    split = whole.withColumns({"_net": F.substring_index("graph_id", "\x01", 1), "_graph": F.substring_index("graph_id", "\x01", -1)})
+    cells = [F.max(F.when(F.col("_net") == n, F.col(m))).alias(f"{n}_{m}") for n in networks for m in measures]
+    return split.groupBy(F.col("_graph").alias("graph_id")).agg(*cells)
+
+
+def sizes(nodes: DataFrame, edges: DataFrame, events: DataFrame, dialogue: DataFrame, passages: DataFrame) -> DataFrame:
+    """(graph_id, n_locations, n_dialogue, n_passages, max_degree_name): what the measures of a graph are read beside; names tie by id."""
+    ids = nodes.select("graph_id").distinct()
+    best = degrees(simple(edges), nodes.select("graph_id", "id").distinct()).join(nodes.groupBy("graph_id", "id").agg(F.min("name").alias("name")), ["graph_id", "id"])
+    best = best.groupBy("graph_id").agg(F.min_by("name", F.struct(-F.col("degree"), F.col("id"))).alias("max_degree_name"))
+    places = events.filter("`where` <> ''").groupBy("graph_id").agg(F.count_distinct("where").alias("n_locations"))
+    said = dialogue.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_dialogue"))
+    read_ = passages.groupBy("graph_id").agg(F.count_distinct("passage").alias("n_passages"))
+    out = ids.join(places, "graph_id", "left").join(said, "graph_id", "left").join(read_, "graph_id", "left").join(best, "graph_id", "left")
+    return out.select("graph_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_locations", "n_dialogue", "n_passages")], "max_degree_name")
+
+
+def text_profile(characters: DataFrame, events: DataFrame, name_class, macro: Mapping[str, Sequence[str]] = MACRO) -> DataFrame:
+    """One row per graph: characters, share of women among those with a sex, shares of the classes of names, shares of the kinds of events.
+
+    characters: (graph_id, id, name, gender); events: (graph_id, what); name_class: a function of the name.
+    """
+    kinds = ("type", "realistic", "classical", "other", "unknown")
+    known = F.col("gender").isin("male", "female")
+    share = lambda c, of: F.round(c / F.nullif(of, F.lit(0)), 6)
+    people = characters.withColumn("_class", name_class(F.col("name"))).groupBy("graph_id").agg(
+        F.count(F.lit(1)).alias("n_characters"), share(F.count_if(F.col("gender") == "female"), F.count_if(known)).alias("female_share"), *[share(F.count_if(F.col("_class") == k), F.count(F.lit(1))).alias(f"name_{k}") for k in kinds]
+    )
+    verb = F.lower("what")
+    acts = events.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_events"), *[share(F.count_if(verb.isin(list(vs))), F.count(F.lit(1))).alias(f"macro_{k}") for k, vs in macro.items()])
+    return people.join(acts, "graph_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("bigint")))

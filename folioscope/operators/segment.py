@@ -212,3 +212,35 @@ def tail_lines(lines: Column, most: int) -> Column:
 def next_id(ids: Column) -> Column:
     """One more than the highest number among ids like C07."""
     return F.coalesce(F.array_max(F.transform(ids, lambda x: F.regexp_extract(x, r"^C(\d+)$", 1).try_cast("int"))), F.lit(0)) + 1
+
+
+def meta_prompt(title: Column, author: Column, year: Column, subject: Column, form: Column, extra: Column | None = None) -> Column:
+    """A text described by its metadata, one line for each value that is there; the year as the half century it falls in."""
+    from folioscope.functions.text import half_century
+
+    def line(name: str, c: Column) -> Column:
+        v = F.trim(c.cast("string"))
+        return F.when(v != "", F.concat(F.lit(f"{name}: "), v))
+
+    lines = [line("Title", title), line("Author", author), line("Printed", half_century(year)), line("Subjects", subject), line("Form", form)]
+    return F.concat_ws("\n", *lines, *([line("Note", extra)] if extra is not None else []))
+
+
+def word_prompt(word: Column, part_of_speech: Column) -> Column:
+    """A word with its part of speech in brackets, where it has one."""
+    return F.when(F.coalesce(F.trim(part_of_speech), F.lit("")) == "", word).otherwise(F.concat(word, F.lit(" ["), F.trim(part_of_speech), F.lit("]")))
+
+
+def introductions(characters: DataFrame, passages: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, id, name, prompt): each named character of a text with its first passages that name it, in reading order.
+
+    characters: (key, id, name); passages: (key, seq, text, id) for each mention of a character.
+    """
+    from folioscope.functions.text import is_named
+
+    named = characters.filter(is_named(F.lit("character"), F.col("name"))).select(key, "id", "name").distinct()
+    place = F.row_number().over(Window.partitionBy(key, "id").orderBy("seq"))
+    first = passages.select(key, "id", "seq", "text").distinct().withColumn("_n", place).filter(F.col("_n") <= most)
+    told = first.groupBy(key, "id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_p"))
+    body = F.array_join(F.transform("_p", lambda p: F.concat(F.lit("("), p["seq"].cast("string"), F.lit(") "), p["text"])), "\n")
+    return named.join(told, [key, "id"]).select(key, "id", "name", F.concat(F.lit("Who is "), "name", F.lit("?\n"), body).alias("prompt"))

@@ -340,3 +340,30 @@ def partition_r2(rows: DataFrame, response: str, predictors: Mapping[str, Sequen
     full = r2(columns)
     out = [(k, len(cs), r2(cs), full - r2([c for c in columns if c not in set(cs)]), full) for k, cs in predictors.items()]
     return rows.sparkSession.createDataFrame(out, "grp string, n_features int, marginal_r2 double, unique_r2 double, full_r2 double")
+
+
+def means_by_decade(rows: DataFrame, year: str, metrics: Sequence[str]) -> DataFrame:
+    """(decade, n, means of the metrics); rows without a year are left out."""
+    decade = (F.floor(F.col(year) / 10) * 10).cast("bigint").alias("decade")
+    return rows.filter(F.col(year).isNotNull()).groupBy(decade).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics])
+
+
+def means_by_tag(rows: DataFrame, tags: str, metrics: Sequence[str], joint: str = ";", top: int = 10) -> DataFrame:
+    """(tag, n, means of the metrics) of the `top` most frequent tags of a text of tags, ties by name."""
+    each = rows.select(F.explode(F.array_distinct(F.transform(F.split(F.coalesce(tags, F.lit("")), joint), F.trim))).alias("tag"), *metrics).filter("tag <> ''")
+    return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics]).orderBy(F.desc("n"), "tag").limit(top)
+
+
+def correlations(rows: DataFrame, size: str, metrics: Sequence[str], least: int = 5) -> DataFrame:
+    """(metric, n, r): Pearson's correlation of each metric with ln(1 + size) over complete rows; only from more than `least` of them."""
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("y")) for m in metrics])
+    each = rows.select(F.log1p(F.col(size).cast("double")).alias("x"), F.inline(cells)).filter("x IS NOT NULL AND y IS NOT NULL")
+    return each.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).filter(F.col("n") > least)
+
+
+def group_matrix(members: DataFrame, key: Sequence[str], group: str, groups: Sequence[str], value: str | None = None) -> DataFrame:
+    """One column per group: whether a member is in it, or with `value` the greatest value it has there (null where it is in none)."""
+    if value is None:
+        wide = members.select(*key, group).distinct().groupBy(*key).pivot(group, list(groups)).agg(F.lit(True))
+        return wide.select(*key, *[F.coalesce(F.col(f"`{g}`"), F.lit(False)).alias(g) for g in groups])
+    return members.groupBy(*key).pivot(group, list(groups)).agg(F.max(value))

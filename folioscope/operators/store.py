@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +81,36 @@ def to_facts(results: DataFrame, fields: dict[str, str], family: str, agent: str
     return rows.withColumns({k: F.lit(v) for k, v in constants.items()} | {"task_version": F.lit(version)}).select(*[c.split()[0] for c in FACTS.split(", ")])
 
 
+#: Columns of results that describe the call and are never written as values.
+RESERVED = frozenset({"prompt", "raw", "result", "key_sha", "model", "attempts", "text", "_failed", "_error", "run_id", "annotated_at"})
+
+
+def writable(results: DataFrame, key: Sequence[str] = ("_id", "scheme", "seq"), reserved: Iterable[str] = RESERVED) -> list[str]:
+    """The columns of results that hold values: all but the key, the reserved ones and those of metadata (meta_...)."""
+    return [c for c in results.columns if c not in set(key) | set(reserved) and not c.startswith("meta_")]
+
+
+HUMAN = "key string, annotator string, edit string, edited_at timestamp"
+
+
+def add_edits(edits: DataFrame, path: str) -> None:
+    """Appends edits (key, annotator, edit JSON, edited_at); nothing is ever overwritten."""
+    edits.select(*[c.split()[0] for c in HUMAN.split(", ")]).write.mode("append").parquet(path)
+
+
+def latest_edits(edits: DataFrame) -> DataFrame:
+    """The last edit of each annotator on each key; of equal times the greater text, so the result is fixed."""
+    return edits.groupBy("key", "annotator").agg(F.max_by("edit", F.struct("edited_at", "edit")).alias("edit"), F.max("edited_at").alias("edited_at"))
+
+
+def of_same_text(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """(_id, tag): every text gets the tags of all texts of its match group (its own where it has none)."""
+    tagged = tags.select("_id", "tag").filter("tag IS NOT NULL").distinct()
+    grouped = texts.select("_id", "match_group").filter("match_group IS NOT NULL").distinct()
+    shared = tagged.join(grouped, "_id").select("match_group", "tag").distinct().join(grouped, "match_group").select("_id", "tag")
+    return tagged.unionByName(shared).distinct()
+
+
 def append(facts: DataFrame, path: str) -> None:
     """Adds facts to a folder partitioned by task, sorted so that row groups can be skipped by _id."""
     facts.sortWithinPartitions("task", "_id", "scheme", "seq").write.mode("append").partitionBy("task").parquet(path)

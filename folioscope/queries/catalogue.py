@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.queries import agreement, extraction, inputs, networks, p3, scalars, segments, statistics, stores, vectors
+from folioscope.queries import agreement, extraction, inputs, networks, p3, profiles, scalars, segments, statistics, stores, vectors
 
-MODULES = [p3, statistics, stores, agreement, networks, scalars, segments, vectors, extraction, inputs]
+MODULES = [p3, statistics, stores, agreement, networks, profiles, scalars, segments, vectors, extraction, inputs]
 
 
 def queries() -> dict:

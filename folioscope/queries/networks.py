@@ -151,8 +151,9 @@ TOP_VERB = f"WITH {_B}, c AS (SELECT graph_id, a, b, type, count(*) AS n FROM k
 
 
 def graph_components(s, d):
-    p = G.paths(G.undirected(_rel(s, d), _nodes(s, d)), _nodes(s, d))
-    return p.groupBy("graph_id").agg(F.first("n_components").alias("n_components"), F.first("largest").alias("largest"))
+    labels = G.components(G.undirected(_rel(s, d), _nodes(s, d)), _nodes(s, d))
+    sizes = labels.groupBy("graph_id", "root").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return sizes.groupBy("graph_id").agg(F.count(F.lit(1)).cast("int").alias("n_components"), F.max("size").alias("largest"))
 
 
 COMPONENTS = f"""WITH RECURSIVE {_B}, w AS (SELECT graph_id, a, b FROM e UNION ALL SELECT graph_id, b, a FROM e), reach AS (SELECT graph_id, id AS m, id AS root FROM n UNION SELECT reach.graph_id, w.b, reach.root FROM reach JOIN w ON w.graph_id = reach.graph_id AND w.a = reach.m),
@@ -169,11 +170,17 @@ def betweenness(s, d):
 
 
 def merged_register(s, d):
-    m = _nodes(s, d).select("graph_id", F.col("name").alias("root"), "id", "name", F.col("chunk").alias("seen"), "notes")
-    return G.merge_register(m).withColumn("aliases", F.size("aliases"))
+    m = _nodes(s, d).select("graph_id", "id", "name", F.col("chunk").alias("seen"), "notes")
+    return G.register(m, _rel(s, d)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-MERGED = "SELECT _id AS graph_id, name AS root, name, count(*) - 1 AS aliases, min(chunk) AS first_seen, max(chunk) AS last_seen, coalesce(string_agg(notes, '; ' ORDER BY id) FILTER (notes <> ''), '') AS notes FROM new_characters GROUP BY 1, 2"
+MERGED = """WITH RECURSIVE n AS (SELECT _id AS graph_id, id, name, chunk, notes FROM new_characters),
+k AS (SELECT DISTINCT r._id AS graph_id, r.a, r.b FROM relations r SEMI JOIN n ON n.graph_id = r._id AND n.id = r.a SEMI JOIN n m ON m.graph_id = r._id AND m.id = r.b WHERE r.type = 'same_as'),
+w AS (SELECT graph_id, a, b FROM k UNION SELECT graph_id, b, a FROM k),
+reach AS (SELECT graph_id, id AS m, id AS root FROM n UNION SELECT reach.graph_id, w.b, reach.root FROM reach JOIN w ON w.graph_id = reach.graph_id AND w.a = reach.m),
+l AS (SELECT graph_id, m AS id, min(root) AS root FROM reach GROUP BY 1, 2),
+x AS (SELECT n.*, root, row_number() OVER (PARTITION BY graph_id, root ORDER BY id, name, notes) AS r FROM n JOIN l USING (graph_id, id))
+SELECT graph_id, root, max(name) FILTER (r = 1) AS name, coalesce(string_agg(name, '|' ORDER BY r) FILTER (r > 1), '') AS aliases, min(chunk) AS first_seen, max(chunk) AS last_seen, coalesce(string_agg(notes, '; ' ORDER BY r) FILTER (notes <> ''), '') AS notes FROM x GROUP BY 1, 2"""
 
 QUERIES = {"edges_undirected": edges_undirected, "edges_directed": edges_directed, "edges_dialogue": edges_dialogue, "edges_composite": edges_composite, "degree_top": degree_top, "active_nodes": active_nodes, "density_reciprocity": density_reciprocity, "clustering_transitivity": clustering_transitivity, "gini_degree": gini_degree, "location_summary": location_summary, "trajectories": trajectories, "verb_counts": verb_counts, "macro_counts": macro_counts, "top_verb": top_verb, "graph_components": graph_components, "path_metrics": path_metrics, "betweenness": betweenness, "merged_register": merged_register}
 ORACLES = {"edges_undirected": f"WITH {_B} SELECT * FROM u", "edges_directed": DIRECTED, "edges_dialogue": DIALOGUE, "edges_composite": COMPOSITE, "degree_top": DEGREE, "active_nodes": ACTIVE, "density_reciprocity": DENSITY, "clustering_transitivity": CLUSTER, "gini_degree": GINI, "location_summary": LOCATIONS, "trajectories": TRAJECTORIES, "verb_counts": VERBS, "macro_counts": MACRO, "top_verb": TOP_VERB, "graph_components": COMPONENTS, "merged_register": MERGED}
