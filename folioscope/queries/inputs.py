@@ -16,12 +16,7 @@ def _space(s, name):
 
 
 def jsonl_round_trip(s, d):
-    """Passages of the verse documents written as JSON lines per text and read again."""
-    return _jsonl(s, read(s, d, "documents").filter("form = 'verse'"))
-
-
-def jsonl_round_trip_all(s, d):
-    """The same for all documents."""
+    """Passages of all documents written as JSON lines per text and read again."""
     return _jsonl(s, read(s, d, "documents"))
 
 
@@ -33,36 +28,20 @@ def _jsonl(s, documents):
 
 
 JSONL = r"""SELECT '_docs/D' || doc_id AS _id, i AS seq, array_to_string(list_slice(w, i*60+1, i*60+60), ' ') AS text, CAST(len(list_slice(w, i*60+1, i*60+60)) AS INT) AS n_words
-FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w)/60.0) AS BIGINT))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents WHERE form = 'verse'))"""
-JSONL_ALL = r"""SELECT '_docs/D' || doc_id AS _id, i AS seq, array_to_string(list_slice(w, i*60+1, i*60+60), ' ') AS text, CAST(len(list_slice(w, i*60+1, i*60+60)) AS INT) AS n_words
 FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w)/60.0) AS BIGINT))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents))"""
 
 
 def manifest_attach(s, d):
-    """A manifest of chapters written as CSV, with the content labels of those that have any."""
-    want = read(s, d, "passage_annotations").filter("scheme = 'chapter'").select("_id", "seq").distinct()
-    base = _space(s, "manifest")
-    want.write.csv(base, header=True)
-    have = read(s, d, "passage_content").filter("scheme = 'chapter'").groupBy("_id", "seq").agg(F.max(F.size("scene_content")).alias("labels"))
-    found, missing = R.attach(R.manifest(s, base), have)
-    return found.select("_id", "seq", F.coalesce("labels", F.lit(-1)).alias("labels")).unionByName(missing.select("_id", "seq", F.lit(-2).alias("labels")))
-
-
-MANIFEST = """SELECT _id, seq, CASE WHEN h IS NULL THEN -2 ELSE coalesce(labels, -1) END AS labels FROM (SELECT DISTINCT _id, seq FROM passage_annotations WHERE scheme = 'chapter')
-LEFT JOIN (SELECT _id, seq, true AS h, max(len(scene_content)) AS labels FROM passage_content WHERE scheme = 'chapter' GROUP BY 1, 2) USING (_id, seq)"""
-
-
-def manifest_attach_all(s, d):
-    """The same for the passages of all schemes."""
+    """A manifest of all passages written as CSV, with the content labels of those that have any."""
     key = ["_id", "scheme", "seq"]
-    base = _space(s, "manifest-all")
+    base = _space(s, "manifest")
     read(s, d, "passage_annotations").select(*key).distinct().write.csv(base, header=True)
     have = read(s, d, "passage_content").groupBy(*key).agg(F.max(F.size("scene_content")).alias("labels"))
     found, missing = R.attach(R.manifest(s, base), have, key)
     return found.select(*key, F.coalesce("labels", F.lit(-1)).alias("labels")).unionByName(missing.select(*key, F.lit(-2).alias("labels")))
 
 
-MANIFEST_ALL = """SELECT _id, scheme, seq, CASE WHEN h IS NULL THEN -2 ELSE coalesce(labels, -1) END AS labels FROM (SELECT DISTINCT _id, scheme, seq FROM passage_annotations)
+MANIFEST = """SELECT _id, scheme, seq, CASE WHEN h IS NULL THEN -2 ELSE coalesce(labels, -1) END AS labels FROM (SELECT DISTINCT _id, scheme, seq FROM passage_annotations)
 LEFT JOIN (SELECT _id, scheme, seq, true AS h, max(len(scene_content)) AS labels FROM passage_content GROUP BY 1, 2, 3) USING (_id, scheme, seq)"""
 
 
@@ -91,11 +70,6 @@ GRAPHS = "SELECT _id AS graph_id, count(*) AS characters, coalesce(any_value(r),
 
 def stream_latest(s, d):
     """The latest view over the annotation log as a stream, batch by batch."""
-    return _latest(s, read(s, d, "passage_annotations").filter("task = 'passage-form'"))
-
-
-def stream_latest_all(s, d):
-    """The same for the rows of all tasks."""
     return _latest(s, read(s, d, "passage_annotations"))
 
 
@@ -109,8 +83,7 @@ def _latest(s, rows):
     return last.select(*key, F.col("m.value").alias("value"))
 
 
-STREAM = "SELECT _id, scheme, seq, field, source_family, source_agent, task, task_version, arg_max(struct_pack(v := value), (annotated_at, coalesce(run_id, ''), coalesce(value, ''))).v AS value FROM passage_annotations WHERE task = 'passage-form' GROUP BY _id, scheme, seq, field, source_family, source_agent, task, task_version"
-STREAM_ALL = "SELECT _id, scheme, seq, field, source_family, source_agent, task, task_version, arg_max(struct_pack(v := value), (annotated_at, coalesce(run_id, ''), coalesce(value, ''))).v AS value FROM passage_annotations GROUP BY _id, scheme, seq, field, source_family, source_agent, task, task_version"
+STREAM = "SELECT _id, scheme, seq, field, source_family, source_agent, task, task_version, arg_max(struct_pack(v := value), (annotated_at, coalesce(run_id, ''), coalesce(value, ''))).v AS value FROM passage_annotations GROUP BY _id, scheme, seq, field, source_family, source_agent, task, task_version"
 
 
 def stream_windows(s, d):
@@ -132,5 +105,5 @@ def stream_windows(s, d):
 
 WINDOWS = "SELECT epoch_us(date_trunc('day', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 
-QUERIES = {"jsonl_round_trip": jsonl_round_trip, "jsonl_round_trip_all": jsonl_round_trip_all, "manifest_attach_all": manifest_attach_all, "stream_latest_all": stream_latest_all, "manifest_attach": manifest_attach, "select_texts": select_texts, "graph_json": graph_json, "stream_latest": stream_latest, "stream_windows": stream_windows}
-ORACLES = {"jsonl_round_trip": JSONL, "jsonl_round_trip_all": JSONL_ALL, "manifest_attach_all": MANIFEST_ALL, "stream_latest_all": STREAM_ALL, "manifest_attach": MANIFEST, "select_texts": SELECT, "graph_json": GRAPHS, "stream_latest": STREAM, "stream_windows": WINDOWS}
+QUERIES = {"jsonl_round_trip": jsonl_round_trip, "manifest_attach": manifest_attach, "select_texts": select_texts, "graph_json": graph_json, "stream_latest": stream_latest, "stream_windows": stream_windows}
+ORACLES = {"jsonl_round_trip": JSONL, "manifest_attach": MANIFEST, "select_texts": SELECT, "graph_json": GRAPHS, "stream_latest": STREAM, "stream_windows": WINDOWS}

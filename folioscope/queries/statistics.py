@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.functions import values as V
 from folioscope.operators import stats as T
+from folioscope.queries.agreement import READ as AGREEMENT_READ
+from folioscope.queries.agreement import _votes as latest_votes
 from folioscope.runtime import Workspace, read
 
 KEY = ["_id", "scheme", "seq"]
@@ -184,36 +186,23 @@ SELECT item, round(rate_en, 9) AS rate_en, round(rate_fr, 9) AS rate_fr, round(r
 
 
 def rates_by_language(s, d):
-    a = read(s, d, "passage_annotations").filter("task = 'passage-content' AND task_version = 2 AND source_agent = 'hollin-70b' AND (value IS NULL OR value NOT LIKE '[''%')")
-    flag = a.filter("field = 'is_prose_fiction'").select("_id", "scheme", "seq", F.lower("value").alias("flag"))
+    """Rates over the answers of all agents, with lists in every form; an agent's answers are left out where it says itself that the passage is no prose fiction."""
+    # the passage as one agent saw it
+    a = latest_votes(s, d).select("_id", F.concat_ws("\x01", "scheme", "agent").alias("scheme"), "seq", "field", "value")
+    flag = a.filter("field = 'is_prose_fiction'").select("_id", "scheme", "seq", F.col("value").alias("flag"))
     spec = [X.parse_field_spec(x) for x in ("has_dialogue", ("introduces_new_character", "new"), ("scene_content::wooing", "wooing"))]
     return T.cross_language(a, read(s, d, "texts"), spec, [1600, 1700, 1800, 1900], flag)
 
 
-RATES = r"""WITH a AS (SELECT * FROM passage_annotations WHERE task = 'passage-content' AND task_version = 2 AND source_agent = 'hollin-70b' AND (value IS NULL OR value NOT LIKE '[''%')),
-p AS (SELECT _id, scheme, seq, coalesce(min(CAST(lower(value) = 'true' AS INT)), 1) AS p FROM a WHERE field = 'is_prose_fiction' GROUP BY ALL),
-r AS (SELECT a.*, CASE field WHEN 'has_dialogue' THEN 'has_dialogue' WHEN 'introduces_new_character' THEN 'new' ELSE 'wooing' END AS label,
- CASE WHEN field = 'scene_content' THEN coalesce(CASE WHEN value LIKE '["%]' AND json_valid(value) THEN list_contains(from_json(value, '["VARCHAR"]'), 'wooing') END, false) ELSE coalesce(lower(value) IN ('true', '1', 'yes'), false) END AS hit
- FROM a LEFT JOIN p USING (_id, scheme, seq) WHERE field IN ('has_dialogue', 'introduces_new_character', 'scene_content') AND coalesce(p, 1) = 1)
+RATES = f"""WITH {AGREEMENT_READ} p AS (SELECT _id, scheme, seq, agent, coalesce(min(CAST(value = 'true' AS INT)), 1) AS p FROM votes WHERE field = 'is_prose_fiction' GROUP BY ALL),
+r AS (SELECT votes.*, CASE field WHEN 'has_dialogue' THEN 'has_dialogue' WHEN 'introduces_new_character' THEN 'new' ELSE 'wooing' END AS label,
+ CASE WHEN field = 'scene_content' THEN coalesce(list_contains(from_json(value, '["VARCHAR"]'), 'wooing'), false) ELSE coalesce(value = 'true', false) END AS hit
+ FROM votes LEFT JOIN p USING (_id, scheme, seq, agent) WHERE field IN ('has_dialogue', 'introduces_new_character', 'scene_content') AND coalesce(p, 1) = 1)
 SELECT lang, label, period, count(*) AS n, count(*) FILTER (hit) AS n_true, round_even(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 1) AS pct
 FROM r JOIN (SELECT _id, lang, CASE WHEN year >= 1600 AND year < 1700 THEN '1600-1699' WHEN year >= 1700 AND year < 1800 THEN '1700-1799' WHEN year >= 1800 AND year < 1900 THEN '1800-1899' END AS period FROM texts) USING (_id)
 WHERE period IS NOT NULL AND lang IS NOT NULL GROUP BY ALL"""
 
 
-def rates_by_language_all(s, d):
-    """The same over the answers of all agents, with lists in every form; an agent's answers are left out where it says itself that the passage is no prose fiction."""
-    fields = {V.label_keys([name]).popitem()[0]: name for name in ("has_dialogue", "introduces_new_character", "scene_content", "is_prose_fiction")}
-    labels = read(s, d, "task_fields").filter("task = 'passage-content' AND task_version = 2 AND field = 'scene_content'").select("vocabulary").first()[0]
-    field = V.as_label(F.col("field"), fields)
-    a = read(s, d, "passage_annotations").filter("task = 'passage-content' AND task_version = 2").withColumn("field", field)
-    value = F.when(F.col("field") == "scene_content", F.to_json(V.as_label_list(F.col("value"), V.label_keys(labels)))).otherwise(V.as_bool(F.col("value")).cast("string"))
-    # the passage as one agent saw it
-    a = a.select("_id", F.concat_ws("\x01", "scheme", V.name_key(F.col("source_agent"))).alias("scheme"), "seq", "field", value.alias("value"))
-    flag = a.filter("field = 'is_prose_fiction'").select("_id", "scheme", "seq", F.col("value").alias("flag"))
-    spec = [X.parse_field_spec(x) for x in ("has_dialogue", ("introduces_new_character", "new"), ("scene_content::wooing", "wooing"))]
-    return T.cross_language(a, read(s, d, "texts"), spec, [1600, 1700, 1800, 1900], flag)
-
-
 def gini_lengths(s, d):
     out = T.gini(read(s, d, "documents").filter("source IS NOT NULL AND n_chars IS NOT NULL"), ["source"], "n_chars")
     return out.select("source", F.round("gini", 7).alias("gini"))
@@ -246,5 +235,5 @@ def r2_partition(s, d):
     return T.partition_r2(e.withColumns(cols), "embedding", {"label": [f"l{k}" for k in range(9)], "order": ["parity", "third"]})
 
 
-QUERIES = {"features_bool": features_bool, "joint_features": joint_features, "mixed_features": mixed_features, "genre_extras": genre_extras, "group_members": group_members, "contingency_counts": contingency_counts, "odds_rates": odds_rates, "discriminate_fisher_bh": discriminate, "discriminate_report": discriminate_report, "feature_pair_tests": feature_pair_tests, "coverage": coverage, "value_counts": value_counts, "presence_rate_spread": presence_rates, "rates_by_lang_period": rates_by_language, "rates_by_lang_period_all": rates_by_language_all, "gini": gini_lengths, "residualize_ols": residuals, "corr_size": size_correlation, "r2_partition": r2_partition}
+QUERIES = {"features_bool": features_bool, "joint_features": joint_features, "mixed_features": mixed_features, "genre_extras": genre_extras, "group_members": group_members, "contingency_counts": contingency_counts, "odds_rates": odds_rates, "discriminate_fisher_bh": discriminate, "discriminate_report": discriminate_report, "feature_pair_tests": feature_pair_tests, "coverage": coverage, "value_counts": value_counts, "presence_rate_spread": presence_rates, "rates_by_lang_period": rates_by_language, "gini": gini_lengths, "residualize_ols": residuals, "corr_size": size_correlation, "r2_partition": r2_partition}
 ORACLES = {"features_bool": f"WITH {_BASE} SELECT * FROM feats", "joint_features": JOINT, "mixed_features": MIXED, "genre_extras": EXTRAS, "group_members": f"WITH {_BASE} SELECT _id, scheme, seq, grp, kind FROM grps", "contingency_counts": f"WITH {_BASE} SELECT * FROM tab", "odds_rates": ODDS, "discriminate_fisher_bh": DISCRIMINATE, "discriminate_report": REPORT, "feature_pair_tests": PAIRS, "coverage": COVERAGE, "value_counts": VALUE_COUNTS, "presence_rate_spread": PRESENCE, "rates_by_lang_period": RATES, "gini": GINI, "residualize_ols": RESIDUALS, "corr_size": CORR}
