@@ -41,7 +41,7 @@ def allowed(votes: DataFrame, reference: str, trusts: DataFrame | None = None, t
     if trusts is not None and threshold is not None:
         t = trusts.select("agent", "field", "trust")
         listed = t.select("field").distinct().withColumn("_l", F.lit(True))
-        joined = out.join(F.broadcast(t), ["agent", "field"], "left").join(F.broadcast(listed), "field", "left")
+        joined = out.join(t, ["agent", "field"], "left").join(listed, "field", "left")
         passes = (F.col("agent") == reference) | F.col("_l").isNull() | F.coalesce(F.col("trust") >= threshold, F.lit(False))
         out = joined.filter(passes).select(*votes.columns)
     for agent, field in exclude:
@@ -129,9 +129,9 @@ def to_facts(consensus_rows: DataFrame, agent: str, task: str, version: int, run
 def presentation(human: DataFrame, models: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, results, default_model): what each model said about an item as a map; the default model is the one with most items."""
     count = models.groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
-    best = count.agg(F.max_by("agent", F.struct("n", "agent")).alias("default_model"))
+    best = count.agg(F.max_by("agent", F.struct("n", "agent"))).first()[0]  # one name
     per = models.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent", "value")))).alias("results"))
-    return per.join(human.select(*key).distinct(), list(key), "left_semi").join(F.broadcast(best))
+    return per.join(human.select(*key).distinct(), list(key), "left_semi").withColumn("default_model", F.lit(best))
 
 
 def even_order(rows: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:

@@ -350,7 +350,7 @@ def means_by_decade(rows: DataFrame, year: str, metrics: Sequence[str]) -> DataF
 
 def means_by_tag(rows: DataFrame, tags: str, metrics: Sequence[str], joint: str = ";", top: int = 10) -> DataFrame:
     """(tag, n, means of the metrics) of the `top` most frequent tags of a text of tags, ties by name."""
-    each = rows.select(F.explode(F.array_distinct(F.transform(F.split(F.coalesce(tags, F.lit("")), joint), F.trim))).alias("tag"), *metrics).filter("tag <> ''")
+    each = rows.select(F.explode(F.array_distinct(F.transform(F.split(F.coalesce(tags, F.lit("")), joint), lambda x: F.trim(x)))).alias("tag"), *metrics).filter("tag <> ''")
     return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in metrics]).orderBy(F.desc("n"), "tag").limit(top)
 
 

@@ -350,8 +350,3 @@ class StoryFold:
 
     def finish(self, state: dict) -> dict:
         return {"characters": state["cast"].people(), **state["told"], "summaries": state["plot"]}
-
-
-def shuffled(rows: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """Rows in a seeded order that every run repeats."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import segment as S
@@ -78,6 +79,11 @@ def write_facts(s, d):
     return out.groupBy("field", "source_family", "source_agent", "task", "task_version", "run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == "[]").alias("empty"), F.count_if(F.col("value") == "true").alias("yes"))
 
 
+WRITTEN = """WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id, scheme, seq ORDER BY scene_content DESC NULLS LAST, is_prose_fiction DESC NULLS LAST, round(confidence, 4) DESC NULLS LAST) AS r FROM passage_content) WHERE r = 1),
+f AS (SELECT 'scene_content' AS field, count(*) FILTER (scene_content IS NOT NULL) AS n, count(*) FILTER (len(scene_content) = 0) AS empty, 0 AS yes FROM k UNION ALL SELECT 'is_prose_fiction', count(is_prose_fiction), 0, count(*) FILTER (is_prose_fiction) FROM k)
+SELECT field, 'llm' AS source_family, 'wicket-8b' AS source_agent, 'passage-content' AS task, 3 AS task_version, 'run1' AS run_id, n, empty, yes FROM f WHERE n > 0"""
+
+
 def pending(s, d):
     want = read(s, d, "passage_content").select("_id", "scheme", "seq").distinct()
     return A.pending(want, _facts(s, d).filter("task = 'passage-content'"), ["_id", "scheme", "seq"], "reader_3")
@@ -97,13 +103,21 @@ WHERE config_sha256 IS NOT NULL GROUP BY 1"""
 
 
 def reconstruct(s, d):
-    """Prompts behind the annotated chapters, from the documents of the work as passages."""
-    docs = read(s, d, "documents").filter("_id IS NOT NULL AND text IS NOT NULL").groupBy("_id").agg(F.min_by("text", "doc_id").alias("text")).select("_id", F.lit("chapter").alias("scheme"), F.lit(0).cast("bigint").alias("seq"), "text")
+    """Prompts behind the annotated chapters, from the documents of the work, in their order, as passages."""
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("doc_id")) - 1
+    docs = read(s, d, "documents").filter("_id IS NOT NULL AND text IS NOT NULL").select("_id", F.lit("chapter").alias("scheme"), place.cast("bigint").alias("seq"), "text")
     conf = A.configs(_facts(s, d).select(F.get_json_object("meta", "$.config_sha256").alias("config_sha256"), "task", F.col("annotated_at").alias("first_seen")).filter("config_sha256 IS NOT NULL"))
     prompt = F.concat(F.lit("["), F.col("task"), F.lit("] "), S.passage_prompt(F.col("text"), F.col("title"), F.col("author"), F.col("year"), F.col("seq")))
     texts = read(s, d, "texts").select("_id", "title", "author", "year")
     return A.reconstruct(_facts(s, d), docs, texts, conf, prompt).select("_id", "scheme", "seq", "config_sha256", F.md5("prompt").alias("prompt_md5"))
 
 
+RECONSTRUCT = """WITH docs AS (SELECT _id, 'chapter' AS scheme, row_number() OVER (PARTITION BY _id ORDER BY doc_id) - 1 AS seq, text FROM documents WHERE _id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT config_sha256, arg_min(task, (first_seen, task)) AS task FROM (SELECT meta::JSON ->> '$.config_sha256' AS config_sha256, task, annotated_at AS first_seen FROM passage_annotations WHERE meta LIKE '{%') WHERE config_sha256 IS NOT NULL GROUP BY 1),
+a AS (SELECT DISTINCT _id, scheme, seq, meta::JSON ->> '$.config_sha256' AS config_sha256 FROM passage_annotations WHERE meta LIKE '{%')
+SELECT a._id, a.scheme, a.seq, config_sha256, md5('[' || task || '] ' || concat_ws(chr(10), CASE WHEN coalesce(title, '') <> '' THEN 'Title: ' || title END, CASE WHEN trim(split_part(coalesce(author, ''), ',', 1)) <> '' THEN 'Author: ' || trim(split_part(author, ',', 1)) END,
+ CASE WHEN year IS NOT NULL THEN 'Year: ' || year END, 'Passage: ' || a.seq) || chr(10) || chr(10) || 'PASSAGE:' || chr(10) || docs.text) AS prompt_md5
+FROM a JOIN docs USING (_id, scheme, seq) JOIN texts USING (_id) JOIN c USING (config_sha256)"""
+
 QUERIES = {"store_scan": store_scan, "latest_view": latest_view, "latest_by_source": latest_by_source, "newest_version": newest_version, "pivot_wide": pivot_wide, "boolean_fields": boolean_fields, "dedupe_last": dedupe_last, "write_facts": write_facts, "pending_keys": pending, "config_table": config_table, "reconstruct_prompts": reconstruct}
-ORACLES = {"store_scan": SCAN, "latest_view": LATEST, "latest_by_source": BY_SOURCE, "newest_version": NEWEST, "pivot_wide": PIVOT, "boolean_fields": BOOLEANS, "dedupe_last": DEDUPE, "pending_keys": PENDING, "config_table": CONFIGS}
+ORACLES = {"write_facts": WRITTEN, "reconstruct_prompts": RECONSTRUCT, "store_scan": SCAN, "latest_view": LATEST, "latest_by_source": BY_SOURCE, "newest_version": NEWEST, "pivot_wide": PIVOT, "boolean_fields": BOOLEANS, "dedupe_last": DEDUPE, "pending_keys": PENDING, "config_table": CONFIGS}

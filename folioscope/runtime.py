@@ -63,6 +63,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+#: Workspaces whose tables haven't been removed.
+_OPEN: list[Workspace] = []
+
+
+def release() -> None:
+    """Removes the tables of all workspaces. For callers that have written their results: a result that is read later needs its tables."""
+    while _OPEN:
+        _OPEN.pop().clear()
+
+
 class Workspace:
     """Tables written into the shared folder to cut lineage.
 
@@ -72,6 +82,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        _OPEN.append(self)
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 

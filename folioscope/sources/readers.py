@@ -39,7 +39,7 @@ def passages_from_jsonl(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.select("path", F.from_json("value", "_id string, _n_passages int, seq bigint, text string, n_words int").alias("r")).select("path", "r.*")
     heads = rows.filter("_id IS NOT NULL AND seq IS NULL").groupBy("path").agg(F.min("_id").alias("_h"))
     slug = F.regexp_extract("path", r"([^/]+?)(?:\.[^/.]+)*$", 1)
-    body = rows.filter("seq IS NOT NULL").join(F.broadcast(heads), "path", "left")
+    body = rows.filter("seq IS NOT NULL").join(heads, "path", "left")
     return body.select("path", F.coalesce("_h", slug_to_id(slug)).alias("_id"), "seq", "text", F.coalesce("n_words", F.size(words(F.col("text")))).alias("n_words"))
 
 
@@ -77,9 +77,22 @@ def graph_tables(results: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def entity_files(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated tokens or mentions with a header; malformed lines are dropped."""
-    return spark.read.csv(path, sep="\t", header=True, inferSchema=True, mode="DROPMALFORMED", quote="")
+def entity_files(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Tab-separated tokens or mentions with a header; malformed lines are dropped. Without a schema every column is text, so files are read once."""
+    reader = spark.read.options(sep="\t", header=True, mode="DROPMALFORMED", quote="")
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+CLUSTERS = "characters array<struct<id: int, count: int, mentions: struct<proper: array<struct<n: string, c: int>>, common: array<struct<n: string, c: int>>, pronoun: array<struct<n: string, c: int>>>>>"
+
+
+def cluster_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, count, name, rank): the clusters of entity files in JSON, named by their most frequent proper, else common, else pronoun mention; rank 0, 1 or 2 tells which."""
+    rows = spark.read.schema(CLUSTERS).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("path"), F.explode("characters").alias("c"))
+    best = lambda kind: F.get(F.array_sort(F.transform(F.coalesce(F.col(f"c.mentions.{kind}"), F.array()), lambda m: F.struct((-m["c"]).alias("n"), m["n"].alias("name")))), F.lit(0))["name"]
+    names = [best(k) for k in ("proper", "common", "pronoun")]
+    rank = F.when(names[0].isNotNull(), 0).when(names[1].isNotNull(), 1).otherwise(2)
+    return rows.select("path", "c.id", "c.count", F.coalesce(*names).alias("name"), rank.alias("rank"))
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:

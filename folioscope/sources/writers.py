@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import model_slug, path_slug
+from folioscope.runtime import Workspace
 
 
 def results_csv(results: DataFrame, path: str, text: str = "text") -> None:
@@ -20,9 +21,10 @@ def result_name(source, model):
     return F.concat(path_slug(source), F.lit("."), model_slug(model), F.lit(".json"))
 
 
-def results_json(results: DataFrame, path: str) -> None:
-    """One JSON line per result, in a folder per file name."""
-    results.write.mode("overwrite").partitionBy("name").text(path) if results.columns == ["value", "name"] else results.write.mode("overwrite").json(path)
+def results_json(results: DataFrame, path: str, source: str = "source", model: str = "model") -> None:
+    """One JSON line per result; each source and model has a folder with the name of its saved result."""
+    body = F.to_json(F.struct(*[F.col(c) for c in results.columns]))
+    results.select(body.alias("value"), result_name(F.col(source), F.col(model)).alias("name")).write.mode("overwrite").partitionBy("name").text(path)
 
 
 def passages_jsonl(passages: DataFrame, path: str, key: str = "_id") -> None:
@@ -57,9 +59,9 @@ def migrate_annotations(spark: SparkSession, old: str, new: str) -> int:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(new)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         moved = moved.join(spark.read.schema("key string, value string").json(new), ["key", "value"], "left_anti")
-    moved = moved.cache()
-    added = moved.count()
-    if added:
+    space = Workspace(spark, "migrate")
+    moved, seen = space.keep(moved, F.count(F.lit(1)).alias("n"))
+    if seen["n"]:
         moved.write.mode("append").json(new)
-    moved.unpersist()
-    return added
+    space.clear()
+    return seen["n"]

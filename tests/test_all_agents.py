@@ -12,6 +12,6 @@ def test_all_agents_vote(spark):
     assert set(agreement.ORDER) < agents and len({"".join(c for c in a.lower() if c.isalnum()) for a in agents}) == len(agents)
     raw = spark.read.parquet(f"{DATA}/passage_annotations.parquet").filter("task = 'passage-content' AND task_version = 2 AND source_agent IS NOT NULL")
     assert agents == {r.agent for r in agreement._votes(spark, DATA).filter("value IS NOT NULL").select("agent").distinct().collect()}
-    assert len(agents) == raw.select(F.regexp_replace(F.lower("source_agent"), r"[^\\p{L}\\p{N}]+", "")).distinct().count()
+    assert len(agents) == raw.select(F.regexp_replace(F.lower("source_agent"), r"[^\p{L}\p{N}]+", "")).distinct().count()
     pairs = agreement.QUERIES["pairwise_agreement"](spark, DATA)
     assert {r.agent_a for r in pairs.select("agent_a").union(pairs.select("agent_b")).collect()} == agents
