@@ -18,7 +18,7 @@ TOKEN = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+|\n[ \t]*\n\s*|\n|\.\.\.|[^\s\
 #: Places for which the estimate from one token less counts in the estimate from three or two tokens.
 WEIGHT = 15
 #: Bits of the filter through which the places of all texts pass; it is broadcast, and never larger than this.
-FILTER_BITS = 22
+FILTER_BITS = 23
 #: Share of ends from which a sequence counts as one that ends something.
 ENDS = 0.02
 #: Share of full stops after a sequence from which a sentence may end there: its writer may have left out the stop.
@@ -120,7 +120,7 @@ def _passing(keyed: DataFrame, wanted: DataFrame, space: Workspace) -> DataFrame
     """
     place = F.col("k").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
-    bits = space.keep(wanted.select(word.alias("word"), F.expr(f"shiftleft(1L, cast(k & 63 AS int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")))
+    bits = space.keep(wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(k & 63 AS int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")))
     return keyed.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.getbit("bits", bit) == 1).drop("word", "bits")
 
 
