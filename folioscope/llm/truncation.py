@@ -138,7 +138,9 @@ def _counts(documents: DataFrame, text: str, ends: DataFrame, space: Workspace)
     places = _sequences(documents.filter(F.col(text).isNotNull()).select(text), text)
     over = F.col("d").isin("$", "¶", "¶¶")
     mark, stop = F.col("d").isin(",", ";", ":", "…", "—", ")", "]"), F.col("d").isin(".", "!", "?")
-    keys = F.array(*_keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c")), _closing(F.col("a"), F.col("b"), F.col("c"), F.col("w")), _itself(F.col("c"), F.col("w")))
+    short = _keys(F.col("layout"), F.col("a"), F.col("b"), F.col("c"))
+    # a token that is its own class has no keys of its own
+    keys = F.when(F.col("w") == F.col("c"), F.array(*short)).otherwise(F.array(*short, _closing(F.col("a"), F.col("b"), F.col("c"), F.col("w")), _itself(F.col("c"), F.col("w"))))
     follows = F.when(over, F.when(F.col("d") == "$", 4).otherwise(3)).when(stop, 2).when(mark, 1).when(F.col("d").isin("\ufffd", "-", "...", "&", "<"), -1).otherwise(0)
     keyed = _passing(places.select(F.explode(keys).alias("k"), follows.alias("next")), asked.select("k"), space)
     counted = keyed.groupBy("k").agg(
