@@ -82,10 +82,12 @@ def _sequences(texts: DataFrame, text: str) -> DataFrame:
     tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
     # generators keep the optimizer from computing the tokens anew for each of their uses
     rows = texts.select(_layout(F.col(text)).alias("layout"), F.explode(F.array(tokens)).alias("t"))
-    pad = lambda t: F.concat(F.array(F.lit("^"), F.lit("^")), t, F.array(F.lit("$")))
-    rows = rows.select("layout", "t", F.explode(F.array(pad(F.transform("t", _shape)))).alias("p")).select("layout", "t", "p", F.size("t").alias("n"))
-    zipped = F.arrays_zip(F.slice("p", F.lit(1), F.col("n")).alias("a"), F.slice("p", F.lit(2), F.col("n")).alias("b"), F.slice("p", F.lit(3), F.col("n")).alias("c"), F.slice("p", F.lit(4), F.col("n")).alias("d"), F.col("t").alias("w"))
-    return rows.select("layout", F.inline(zipped)).toDF("layout", "a", "b", "c", "d", "w")
+    pad = F.concat(F.array(F.lit("^"), F.lit("^")), "t", F.array(F.lit("$")))
+    rows = rows.select("layout", F.size("t").alias("n"), F.explode(F.array(pad)).alias("p"))
+    zipped = F.arrays_zip(*[F.slice("p", F.lit(i + 1), F.col("n")).alias(x) for i, x in enumerate("abwd")])
+    # classes are found after the tokens are rows, where generated code does it
+    flat = rows.select("layout", F.inline(zipped)).toDF("layout", "a", "b", "w", "d")
+    return flat.select("layout", *[_shape(F.col(x)).alias("c" if x == "w" else x) for x in "abwd"], "w")
 
 
 def last_words(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
