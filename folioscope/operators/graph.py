@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -123,82 +122,200 @@ def basics(edges: DataFrame, nodes: DataFrame, is_directed: bool = False) -> Dat
     return out.join(mutual, "graph_id", "left").withColumn("reciprocity", F.coalesce(F.coalesce("m", F.lit(0)) / F.nullif("n_edges", F.lit(0)), F.lit(0.0))).drop("m")
 
 
-def _from(adjacency: list[list[int]], sources: Sequence[int]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """Unscaled betweenness that paths from `sources` add to every node, and for each source the first node and size of its component, its greatest and its total distance."""
-    n = len(adjacency)
-    between, seen = np.zeros(n), []
-    for s in sources:
-        order, parents = [], {s: []}
-        sigma, dist = {s: 1.0}, {s: 0}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in adjacency[v]:
-                if w not in dist:
-                    dist[w], sigma[w], parents[w] = dist[v] + 1, 0.0, []
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    parents[w].append(v)
-        seen.append((min(order), len(order), dist[order[-1]], sum(dist.values())))
-        delta = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in parents[w]:
-                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-            if w != s:
-                between[w] += delta[w]
-    return between, seen
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is linked with, over links x-y."""
+    root = np.arange(n)
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while not np.array_equal(far := root[root], root):
+            root = far
 
 
-#: Sources of shortest paths that one task takes on; a larger graph is dealt to several.
-SOURCES = 256
-#: Nodes of small graphs that share a task, on average.
-BUCKET = 2_000
+def _peel(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Takes ends of paths off the links x-y until none is left: (alive, weight, squares, height, across).
 
+    Of each node: whether it is left; itself and the nodes taken off behind it; the sum of the squared weights
+    of those taken off at it; the longest way down to them; the longest way between two of them through it.
+    """
+    degree = np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+    near = np.zeros(n, np.int64)  # of a node with one link: its neighbour
+    np.bitwise_xor.at(near, x, y)
+    np.bitwise_xor.at(near, y, x)
+    alive, weight, squares = np.ones(n, bool), np.ones(n, np.int64), np.zeros(n, np.int64)
+    height, across = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    leaves, depth = np.flatnonzero(degree == 1), 0
+    while len(leaves):
+        depth += 1
+        up = near[leaves]
+        off = (degree[up] > 1) | (leaves > up)  # of two nodes that have only each other the first stays
+        leaves, up = leaves[off], up[off]
+        alive[leaves], degree[leaves] = False, 0
+        np.add.at(weight, up, weight[leaves])
+        np.add.at(squares, up, weight[leaves] ** 2)
+        np.bitwise_xor.at(near, up, leaves)
+        at, many = np.unique(up, return_counts=True)
+        degree[at] -= many
+        across[at] = np.maximum(across[at], depth + np.where(many > 1, depth, height[at]))
+        height[at] = depth  # all that go off in one round are equally high
+        leaves = at[degree[at] == 1]
+    return alive, weight, squares, height, across
+
+
+def _between(start: np.ndarray, room: np.ndarray, ptr: np.ndarray, ends: np.ndarray, weight: np.ndarray, height: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the paths from `sources`: what they add to the betweenness of each node; and of each source the farthest pair of nodes behind it and behind another node, and the sum of distances.
+
+    Nodes of one component stand side by side from `start` on, `room` of them; the neighbours of v are
+    ends[ptr[v]:ptr[v + 1]]; a node stands for `weight` nodes, the farthest of them `height` behind it. A
+    batch of sources goes on step by step together, so that a step is a few operations on arrays.
+    """
+    between, far, total = np.zeros(len(room)), np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
+    slots = np.concatenate(([0], np.cumsum(room[sources])))
+    low = 0
+    while low < len(sources):
+        high = max(low + 1, int(np.searchsorted(slots, slots[low] + SLOTS, "right")) - 1)
+        s = sources[low:high]
+        # the place of node v in the tables of source k is shift[k] + v
+        shift = slots[low:high] - slots[low] - start[s]
+        seen, mark = np.zeros(slots[high] - slots[low], bool), np.empty(slots[high] - slots[low], np.int64)
+        k, v, sigma = np.arange(len(s)), s, np.ones(len(s))
+        seen[shift + s] = True
+        levels, steps = [], []
+        while len(v):
+            levels.append((k, v, sigma))
+            count = ptr[v + 1] - ptr[v]
+            parent = np.repeat(np.arange(len(v)), count)
+            w = ends[np.arange(len(parent)) + np.repeat(ptr[v] - np.cumsum(count) + count, count)]
+            slot = shift[k[parent]] + w
+            new = np.flatnonzero(~seen[slot])
+            slot, parent = slot[new], parent[new]
+            order = np.arange(len(slot))
+            mark[slot] = order
+            first = np.flatnonzero(mark[slot] == order)
+            mark[slot[first]] = np.arange(len(first))
+            child = mark[slot]
+            seen[slot[first]] = True
+            k, v, sigma = k[parent[first]], w[new[first]], np.bincount(child, sigma[parent], len(first))
+            steps.append((parent, child))
+            d = len(levels)
+            np.maximum.at(far, low + k, d + height[v] + height[s[k]])
+            total[low:high] += d * np.bincount(k, weight[v], len(s)).astype(np.int64)
+        total[low:high] *= weight[s]
+        delta = np.zeros(0)
+        for (k, v, sigma), (parent, child) in zip(reversed(levels), reversed(steps)):
+            delta = sigma * np.bincount(parent, delta[child], len(v)) if len(child) else np.zeros(len(v))
+            if v is not s:
+                np.add.at(between, v, delta * weight[s[k]])
+                delta = (weight[v] + delta) / sigma
+        low = high
+    return between, far, total
 
-def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(graph_id, id, betweenness, component, n_components, largest, diameter, mean_path): all that needs shortest paths.
 
-    Paths from different sources are independent: each graph is dealt to as many tasks as it has blocks of
-    SOURCES nodes, each of which gets the graph's edges and adds up its own sources' share, so a work with
-    a very large cast doesn't wait for one task. diameter and mean_path are those of the largest component.
-    """
+#: Sources of shortest paths that one task takes on; a larger graph is dealt to several.
+SOURCES = 2048
+#: Nodes of small graphs that share a task, on average.
+BUCKET = 2_000
+#: Places of the tables of a batch of sources.
+SLOTS = 1 << 19
+
+
+def _measured(n: int, x: np.ndarray, y: np.ndarray, block: np.ndarray, blocks: np.ndarray, unit: np.ndarray, ways: bool) -> tuple[np.ndarray, ...]:
+    """(kept, share, root, size, reach, total) of n nodes with links x-y; with `ways` also over shortest paths, from every source of the node's block."""
+    root = _roots(n, x, y)
+    size = np.bincount(root, minlength=n)[root]
+    kept, share, reach, total = block == 0, np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not ways:
+        return kept, share, root, size, reach, total
+    alive, weight, squares, height, across = _peel(n, x, y)
+    # paths that end behind the node itself; block 0 counts them
+    inside, rest = weight - 1, size - weight
+    share[:] = np.where(alive, inside**2 - squares + 2 * inside * rest, (size - 1) ** 2 - squares - rest**2) * kept
+    total[:] = np.where(alive, 0, 2 * weight * rest) * kept
+    reach[:] = across * kept
+    both = alive[x] & alive[y]
+    x, y = x[both], y[both]
+    core = np.unique(np.concatenate((x, y)))
+    if len(core):
+        core = core[np.argsort(root[core], kind="stable")]
+        place = np.empty(n, np.int64)
+        place[core] = np.arange(len(core))
+        a, b = place[np.concatenate((x, y))], place[np.concatenate((y, x))]
+        ends = b[np.argsort(a, kind="stable")]
+        ptr = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=len(core)))))
+        _, start, member, room = np.unique(root[core], return_index=True, return_inverse=True, return_counts=True)
+        # the sources of a graph are dealt in turn to its blocks
+        turn = np.argsort(unit[core], kind="stable")
+        u = unit[core][turn]
+        rank = np.empty(len(core), np.int64)
+        rank[turn] = np.arange(len(core)) - np.searchsorted(u, u)
+        mine = np.flatnonzero(rank % blocks[core] == block[core])
+        between, far, sums = _between(start[member], room[member], ptr, ends, weight[core], height[core], mine)
+        share[core] += between
+        reach[core[mine]] = np.maximum(reach[core[mine]], far)
+        total[core[mine]] += sums
+        kept = kept | (share > 0)
+        kept[core[mine]] = True
+    return kept, share, root, size, reach, total
+
+
+def _pieces(edges: DataFrame, nodes: DataFrame, ways: bool) -> DataFrame:
+    """(graph_id, id, share, component, size, reach, total) of every node: unscaled betweenness, first node and size of its component; the greatest reach and the sum of total over a component are its diameter and its sum of distances."""
     ids = nodes.select("graph_id", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).distinct()
-    blocks = ids.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("blocks"))
-    rows = ids.unionByName(simple(edges).select("graph_id", "a", "b")).join(blocks, "graph_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    links = simple(edges).select("graph_id", "a", "b")
+    if ways:
+        n = ids.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).join(links.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m")), "graph_id")
+        blocks = n.select("graph_id", F.ceil(F.least("n", "m") / SOURCES).cast("int").alias("blocks"))
+        rows = ids.unionByName(links).join(blocks, "graph_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        rows = ids.unionByName(links).withColumns({"blocks": F.lit(1), "block": F.lit(0)})
     kind = nodes.schema["graph_id"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        graphs: dict[tuple, tuple[list[str], list[tuple[str, str]]]] = {}
-        for g, block, blocks, x, y in zip(frame["graph_id"], frame["block"], frame["blocks"], frame["a"], frame["b"].where(frame["b"].notna(), None)):
-            names, links = graphs.setdefault((g, block, blocks), ([], []))
-            if y is None:
-                names.append(x)
-            else:
-                links.append((x, y))
-        out = []
-        for (g, block, blocks), (names, links) in graphs.items():
-            names.sort()
-            at = {x: i for i, x in enumerate(names)}
-            adjacency: list[list[int]] = [[] for _ in names]
-            for x, y in links:
-                if x in at and y in at:
-                    adjacency[at[x]].append(at[y])
-                    adjacency[at[y]].append(at[x])
-            sources = range(block, len(names), blocks)
-            between, seen = _from(adjacency, sources)
-            mine = dict(zip(sources, seen))
-            for i in sorted(set(np.flatnonzero(between).tolist()) | set(sources)):
-                c, z, e, t = mine.get(i, (-1, 0, 0, 0))
-                out.append((g, names[i], float(between[i]), names[c] if c >= 0 else None, z, e, t))
-        return pd.DataFrame(out, columns=["graph_id", "id", "share", "component", "size", "reach", "total"])
+        node = frame["b"].isna().to_numpy()
+        g, graphs = pd.factorize(frame["graph_id"], use_na_sentinel=False)
+        unit, _ = pd.factorize(g * np.int64(frame["blocks"].max()) + frame["block"].to_numpy())
+        codes, names = pd.factorize(pd.concat([frame["a"], frame.loc[~node, "b"]], ignore_index=True), sort=True)
+        width = len(names) + 1
+        key, other = unit * width + codes[: len(frame)], unit[~node] * width + codes[len(frame) :]
+        place, at = np.unique(key[node], return_index=True)
+        at = np.flatnonzero(node)[at]
+        x, y = np.searchsorted(place, key[~node]), np.searchsorted(place, other)
+        top = len(place) - 1
+        known = (place[np.minimum(x, top)] == key[~node]) & (place[np.minimum(y, top)] == other) if top >= 0 else np.zeros(len(x), bool)
+        block, blocks = frame["block"].to_numpy()[at].astype(np.int64), frame["blocks"].to_numpy()[at].astype(np.int64)
+        kept, share, root, size, reach, total = _measured(len(place), x[known], y[known], block, blocks, unit[at], ways)
+        kept = np.flatnonzero(kept)
+        label = codes[at]
+        return pd.DataFrame({"graph_id": np.asarray(graphs, dtype=object)[g[at][kept]], "id": names[label[kept]], "share": share[kept], "component": names[label[root[kept]]], "size": size[kept], "reach": reach[kept], "total": total[kept]})
 
     # small graphs share a task; what a task gets is bounded by the number of nodes in all
     buckets = int(max(1, -(-(ids.count()) // BUCKET)))
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("graph_id", "block"), F.lit(buckets)))
+    placed = rows.withColumn("bucket", F.when(F.col("blocks") > 1, F.xxhash64("graph_id", "block")).otherwise(F.pmod(F.xxhash64("graph_id"), F.lit(buckets))))
     parts = placed.groupBy("bucket").applyInPandas(run, f"graph_id {kind}, id string, share double, component string, size bigint, reach bigint, total bigint")
-    per = parts.groupBy("graph_id", "id").agg(F.sum("share").alias("share"), F.max("component").alias("component"), F.max("size").alias("size"), F.max("reach").alias("reach"), F.max("total").alias("total"))
+    if not ways:
+        return parts
+    return parts.groupBy("graph_id", "id").agg(F.sum("share").alias("share"), F.max("component").alias("component"), F.max("size").alias("size"), F.max("reach").alias("reach"), F.sum("total").alias("total"))
+
+
+def parts_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, components, largest): the number of components of each graph and the nodes of the largest."""
+    first = F.col("component") == F.col("id")
+    return _pieces(edges, nodes, False).groupBy("graph_id").agg(F.count_if(first).cast("int").alias("components"), F.max("size").cast("int").alias("largest"))
+
+
+def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, id, betweenness, component, n_components, largest, diameter, mean_path): all that needs shortest paths.
+
+    Trees are taken off first: what paths to and from them add follows from the sizes of their parts, so only
+    the rest, each node with the weight of what hung on it, needs paths. Paths from different sources are
+    independent: each graph is dealt to as many tasks as it has blocks of SOURCES nodes, each of which gets
+    the graph's edges and adds up its own sources' share, so a work with a very large cast doesn't wait
+    for one task. diameter and mean_path are those of the largest component.
+    """
+    per = _pieces(edges, nodes, True)
     every = Window.partitionBy("graph_id")
     n = F.count(F.lit(1)).over(every)
     best = F.min(F.struct(-F.col("size"), F.col("component"))).over(every)

@@ -71,3 +71,29 @@ def test_order_by_passage_number(spark):
     e = spark.createDataFrame([("g", "x", "w", "b", "P1000", 0), ("g", "x", "w", "a", "P999", 1), ("g", "x", "w", "", "P1", 2)], "graph_id string, who string, what string, `where` string, passage string, ord int")
     assert G.trajectories(e).first().steps == ["999/a/w", "1000/b/w"]
     assert {r.location: (r.first_passage, r.n_events) for r in G.locations(e).collect()} == {"a": (999, 1), "b": (1000, 1)}
+
+
+def test_paths_of_a_large_graph_with_trees_in_blocks(spark, monkeypatch):
+    """A cast of 60,000 with a ring, chains and fans hanging on it, beside small graphs: taking off trees and dealing sources to blocks leaves all measures as they are."""
+    monkeypatch.setattr(G, "SOURCES", 20_000)
+    monkeypatch.setattr(G, "SLOTS", 5_000)
+    ring, n = 40, 60_000
+    pairs = [(i, (i + 1) % ring) for i in range(ring)] + [(i - ring if i < 2 * ring else i % 2 * ring + i % ring, i) for i in range(ring, n)]
+    rel, nodes = table(spark, pairs, n)
+    small = [("h", "n0", "n1", "t", 0), ("h", "n2", "n3", "t", 1), ("h", "n3", "n4", "t", 2)]
+    rel = rel.unionByName(spark.createDataFrame(small, rel.schema))
+    nodes = nodes.unionByName(spark.createDataFrame([("h", f"n{i}") for i in range(6)], nodes.schema))
+    got = {(r.graph_id, r.id): r for r in G.paths(G.undirected(rel, nodes), nodes).collect()}
+    hung, weight = [0] * n, [1] * n
+    for a, b in reversed(pairs[ring:]):
+        weight[a] += weight[b]
+    for a, b in pairs[ring:]:
+        hung[a] += weight[b] ** 2
+    distance = [[min(abs(i - j), ring - abs(i - j)) for j in range(ring)] for i in range(ring)]
+    for v in range(ring):
+        through = sum(weight[s] * weight[t] * (0.5 if distance[s][t] * 2 == ring else 1) for s in range(ring) for t in range(ring) if v not in (s, t) and s != t and distance[s][v] + distance[v][t] == distance[s][t])
+        want = (weight[v] - 1) ** 2 - hung[v] + 2 * (weight[v] - 1) * (n - weight[v]) + through
+        assert abs(got["g", f"n{v}"].betweenness - want / ((n - 1) * (n - 2))) < 1e-9
+    assert len(got) == n + 6 and got["g", "n0"].n_components == 1 and got["g", "n0"].diameter == ring // 2 + 4
+    h = got["h", "n3"]
+    assert (h.n_components, h.largest, h.diameter, h.betweenness) == (3, 3, 2, 2 / 20) and abs(h.mean_path - 4 / 3) < 1e-12
