@@ -106,20 +106,20 @@ def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return t.groupBy("graph_id").agg(F.avg(local).alias("clustering"), F.coalesce(F.sum("t") / F.nullif(F.sum(pairs), F.lit(0.0)), F.lit(0.0)).alias("transitivity"))
 
 
-def basics(edges: DataFrame, nodes: DataFrame, is_directed: bool = False) -> DataFrame:
-    """(graph_id, n_nodes, n_edges, density, mean_degree, max_degree, max_degree_node, reciprocity); ties of the degree go to the smaller id."""
+def basics(edges: DataFrame, nodes: DataFrame, is_directed: bool = False, mutual: bool = True) -> DataFrame:
+    """(graph_id, n_nodes, n_edges, density, mean_degree, max_degree, max_degree_node, reciprocity); ties of the degree go to the smaller id. Without `mutual` reciprocity is null."""
     k = degrees(edges, nodes)
     per = k.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.min_by("id", F.struct(-F.col("degree"), F.col("id"))).alias("max_degree_node"))
     counted = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
     out = per.join(counted, "graph_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
     room = F.col("n_nodes") * (F.col("n_nodes") - 1)
     out = out.withColumn("density", F.coalesce((1 if is_directed else 2) * F.col("n_edges") / F.nullif(room, F.lit(0)), F.lit(0.0)))
-    if not is_directed:
+    if not (is_directed and mutual):
         return out.withColumn("reciprocity", F.lit(None).cast("double"))
     d = edges.select("graph_id", "a", "b").distinct()
     back = d.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"))
-    mutual = d.filter("a <> b").join(back, ["graph_id", "a", "b"], "left_semi").groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
-    return out.join(mutual, "graph_id", "left").withColumn("reciprocity", F.coalesce(F.coalesce("m", F.lit(0)) / F.nullif("n_edges", F.lit(0)), F.lit(0.0))).drop("m")
+    both = d.filter("a <> b").join(back, ["graph_id", "a", "b"], "left_semi").groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
+    return out.join(both, "graph_id", "left").withColumn("reciprocity", F.coalesce(F.coalesce("m", F.lit(0)) / F.nullif("n_edges", F.lit(0)), F.lit(0.0))).drop("m")
 
 
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -323,36 +323,54 @@ def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     per = per.withColumns({"n": n, "best": best["component"], "n_components": F.sum(first).over(every).cast("int"), "largest": F.max("size").over(every).cast("int")})
     inside = F.col("component") == F.col("best")
     room = (F.col("n") - 1) * (F.col("n") - 2)
-    mean = F.sum(F.when(inside, F.col("total"))).over(every) / F.nullif(F.col("largest") * (F.col("largest") - 1), F.lit(0))
+    mean = F.sum(F.when(inside, F.col("total"))).over(every) / F.nullif(F.col("largest").cast("bigint") * (F.col("largest") - 1), F.lit(0))
     return per.select(
         "graph_id", "id", F.when(F.col("n") > 2, F.col("share") / F.nullif(room, F.lit(0))).otherwise(F.col("share")).alias("betweenness"), "component", "n_components", "largest",
         F.max(F.when(inside, F.col("reach"))).over(every).cast("int").alias("diameter"), F.coalesce(mean, F.lit(0.0)).alias("mean_path"),
     )
 
 
-def profile(edges: DataFrame, nodes: DataFrame, is_directed: bool = False) -> DataFrame:
-    """One row per graph with all measures; diameter and mean path only where the whole graph is connected."""
+#: What of a profile needs shortest paths, and what their components alone.
+PATHS, COMPONENTS = {"max_betweenness", "mean_betweenness", "centralization", "diameter", "avg_path"}, {"components", "largest_cc_frac"}
+
+
+def profile(edges: DataFrame, nodes: DataFrame, is_directed: bool = False, measures: Sequence[str] = ()) -> DataFrame:
+    """One row per graph with all measures, or with those named; diameter and mean path only where the whole graph is connected.
+
+    Only what the measures need is worked out: components come from the links alone, without shortest paths.
+    """
     from folioscope.operators.stats import gini
 
+    need = lambda *names: not measures or bool(set(names) & set(measures))
     space = Workspace(edges.sparkSession, "profile")
     edges, nodes = space.keep(edges.select("graph_id", "a", "b")), space.keep(nodes.select("graph_id", "id").distinct())
+    out = basics(edges, nodes, is_directed, need("reciprocity"))
+    if need(*PATHS):
+        p = paths(edges, nodes)
+        out = out.join(p.groupBy("graph_id").agg(F.max("betweenness").alias("max_betweenness"), F.avg("betweenness").alias("mean_betweenness"), F.first("n_components").alias("components"), F.first("largest").alias("largest"), F.first("diameter").alias("diameter"), F.first("mean_path").alias("mean_path")), "graph_id")
+    elif need(*COMPONENTS):
+        out = out.join(parts_of(edges, nodes), "graph_id")
     k = degrees(simple(edges), nodes)
-    p = paths(edges, nodes)
-    top = p.groupBy("graph_id").agg(F.max("betweenness").alias("max_betweenness"), F.avg("betweenness").alias("mean_betweenness"), F.first("n_components").alias("components"), F.first("largest").alias("largest"), F.first("diameter").alias("diameter"), F.first("mean_path").alias("mean_path"))
-    ends = simple(edges).select("graph_id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("graph_id", "e.x", "e.y")
-    kx = k.select("graph_id", F.col("id").alias("x"), F.col("degree").cast("double").alias("kx"))
-    mixed = ends.join(kx, ["graph_id", "x"]).join(kx.withColumnsRenamed({"x": "y", "kx": "ky"}), ["graph_id", "y"]).groupBy("graph_id").agg(F.covar_pop("kx", "ky").alias("c"), (F.stddev_pop("kx") * F.stddev_pop("ky")).alias("v"))
-    mixed = mixed.select("graph_id", F.when(F.col("v") > 1e-12, F.col("c") / F.nullif("v", F.lit(0.0))).alias("assortativity"))
-    out = basics(edges, nodes, is_directed).join(top, "graph_id").join(clustering(edges, nodes), "graph_id").join(gini(k, ["graph_id"], "degree").withColumnRenamed("gini", "degree_gini"), "graph_id").join(mixed, "graph_id", "left")
-    central = k.groupBy("graph_id").agg((F.max("degree") / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("max_degree_cent"))
+    if need("clustering", "transitivity"):
+        out = out.join(clustering(edges, nodes), "graph_id")
+    if need("degree_gini"):
+        out = out.join(gini(k, ["graph_id"], "degree").withColumnRenamed("gini", "degree_gini"), "graph_id")
+    if need("assortativity"):
+        ends = simple(edges).select("graph_id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("graph_id", "e.x", "e.y")
+        kx = k.select("graph_id", F.col("id").alias("x"), F.col("degree").cast("double").alias("kx"))
+        mixed = ends.join(kx, ["graph_id", "x"]).join(kx.withColumnsRenamed({"x": "y", "kx": "ky"}), ["graph_id", "y"]).groupBy("graph_id").agg(F.covar_pop("kx", "ky").alias("c"), (F.stddev_pop("kx") * F.stddev_pop("ky")).alias("v"))
+        out = out.join(mixed.select("graph_id", F.when(F.col("v") > 1e-12, F.col("c") / F.nullif("v", F.lit(0.0))).alias("assortativity")), "graph_id", "left")
+    if need("max_degree_cent"):
+        out = out.join(k.groupBy("graph_id").agg((F.max("degree") / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("max_degree_cent")), "graph_id")
     one = (F.col("components") == 1) & (F.col("n_nodes") > 1)
     r = lambda c, n=4: F.round(c, n)
-    return out.join(central, "graph_id").select(
-        "graph_id", "n_nodes", "n_edges", r("density").alias("density"), r("reciprocity").alias("reciprocity"), "components", r(F.col("largest") / F.col("n_nodes")).alias("largest_cc_frac"),
-        F.when(F.col("n_nodes") >= 3, r("clustering")).alias("clustering"), F.when(F.col("n_nodes") >= 3, r("transitivity")).alias("transitivity"), r("max_betweenness").alias("max_betweenness"), r("mean_betweenness").alias("mean_betweenness"),
-        r(F.col("max_betweenness") - F.col("mean_betweenness")).alias("centralization"), r("max_degree_cent").alias("max_degree_cent"), r("degree_gini").alias("degree_gini"), r("assortativity").alias("assortativity"),
-        F.when(one, F.col("diameter")).alias("diameter"), F.when(one, r("mean_path", 2)).alias("avg_path"),
-    )
+    columns = {
+        "n_nodes": F.col("n_nodes"), "n_edges": F.col("n_edges"), "density": r("density"), "reciprocity": r("reciprocity"), "components": F.col("components"), "largest_cc_frac": r(F.col("largest") / F.col("n_nodes")),
+        "clustering": F.when(F.col("n_nodes") >= 3, r("clustering")), "transitivity": F.when(F.col("n_nodes") >= 3, r("transitivity")), "max_betweenness": r("max_betweenness"), "mean_betweenness": r("mean_betweenness"),
+        "centralization": r(F.col("max_betweenness") - F.col("mean_betweenness")), "max_degree_cent": r("max_degree_cent"), "degree_gini": r("degree_gini"), "assortativity": r("assortativity"),
+        "diameter": F.when(one, F.col("diameter")), "avg_path": F.when(one, r("mean_path", 2)),
+    }
+    return out.select("graph_id", *[columns[m].alias(m) for m in measures or columns])
 
 
 def counts(rows: DataFrame, value: str, exclude: Sequence[str] = ()) -> DataFrame:
@@ -453,7 +471,7 @@ def profiles(networks: Mapping[str, tuple[DataFrame, bool]], nodes: DataFrame, m
             tag = F.concat(F.lit(name + "\x01"), F.col("graph_id").cast("string")).alias("graph_id")
             e, n = network.select(tag, "a", "b"), nodes.select(tag, "id")
             edges, members = (e, n) if edges is None else (edges.unionByName(e), members.unionByName(n))
-        parts.append(profile(edges, members, way).select("graph_id", *measures))
+        parts.append(profile(edges, members, way, measures))
     whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     split = whole.withColumns({"_net": F.substring_index("graph_id", "\x01", 1), "_graph": F.substring_index("graph_id", "\x01", -1)})
     cells = [F.max(F.when(F.col("_net") == n, F.col(m))).alias(f"{n}_{m}") for n in networks for m in measures]

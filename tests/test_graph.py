@@ -97,3 +97,17 @@ def test_paths_of_a_large_graph_with_trees_in_blocks(spark, monkeypatch):
     assert len(got) == n + 6 and got["g", "n0"].n_components == 1 and got["g", "n0"].diameter == ring // 2 + 4
     h = got["h", "n3"]
     assert (h.n_components, h.largest, h.diameter, h.betweenness) == (3, 3, 2, 2 / 20) and abs(h.mean_path - 4 / 3) < 1e-12
+
+
+def test_profiles_search_no_paths_for_counts_of_components(spark, monkeypatch):
+    rel, nodes = table(spark, [(0, 1), (1, 0), (1, 2), (3, 4), (5, 5)], 7)
+    u, d = G.undirected(rel, nodes), G.directed(rel, nodes)
+    whole = {(w, r.graph_id): r for w, e in ((False, u), (True, d)) for r in G.profile(e, nodes, w).collect()}
+    monkeypatch.setattr(G, "_between", None)
+    monkeypatch.setattr(G, "paths", None)
+    some = ["n_nodes", "n_edges", "density", "components", "largest_cc_frac", "reciprocity"]
+    for way, e in ((False, u), (True, d)):
+        r = G.profile(e, nodes, way, some).first()
+        assert [r[m] for m in some] == [whole[way, "g"][m] for m in some]
+    p = G.profiles({"x": (u, False), "y": (d, True)}, nodes, ["density", "components"]).first()
+    assert (p.x_components, p.y_components) == (4, 4) and (p.x_density, p.y_density) == (whole[False, "g"].density, whole[True, "g"].density)
