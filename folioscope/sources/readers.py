@@ -43,6 +43,12 @@ def passages_from_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return body.select("path", F.coalesce("_h", slug_to_id(slug)).alias("_id"), "seq", "text", F.coalesce("n_words", F.size(words(F.col("text")))).alias("n_words"))
 
 
+def passages_from_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, _id, seq, text, n_words) of JSON lines files of many texts, whose passages have the _id of their text; headers are skipped."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "_id string, seq bigint, text string, n_words int").alias("r"))
+    return lines.select("path", "r.*").filter("seq IS NOT NULL").withColumn("n_words", F.coalesce("n_words", F.size(words(F.col("text")))))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A CSV list of passages; _id and seq are required, other columns stay."""
     rows = spark.read.csv(path, header=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import model_slug, path_slug
@@ -38,6 +38,19 @@ def passages_jsonl(passages: DataFrame, path: str, key: str = "_id") -> None:
     rows.repartition("slug").sortWithinPartitions("slug", "seq").select("slug", "value").write.mode("overwrite").partitionBy("slug").text(path)
 
 
+def packed_jsonl(passages: DataFrame, path: str, key: str = "_id") -> None:
+    """The lines of `passages_jsonl` with many texts to a file, for collections of so many texts that a file each would take longer than their passages.
+
+    A text is whole in one file, its header first, then its passages in order; every line has the _id of its text.
+    """
+    text, order = Window.partitionBy(key), F.col("seq").cast("bigint")
+    head = F.to_json(F.struct(F.col(key).alias("_id"), F.count(F.lit(1)).over(text).alias("_n_passages")))
+    body = F.to_json(F.struct(F.col(key).alias("_id"), order.alias("seq"), "text", "n_words"))
+    first = F.row_number().over(text.orderBy(order)) == 1
+    lines = passages.select(F.when(first, head).alias("head"), body.alias("body"))
+    lines.select(F.explode(F.array_compact(F.array("head", "body"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def select_texts(texts: DataFrame, passages: DataFrame, least: int, key: str = "_id") -> DataFrame:
     """Texts with at least `least` passages, with their number, most first."""
     counted = passages.groupBy(key).agg(F.count(F.lit(1)).alias("n_passages")).filter(F.col("n_passages") >= least)

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,32 @@ def test_stream_with_state(spark, tmp_path):
     q = S.running_register(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(r.n_characters for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen[-1] == 3 and seen[0] == 2
+
+
+def test_round_trip_of_many_texts_takes_few_files(spark, monkeypatch):
+    """Files are counted where they are read; every passage of every text comes back, and each text has its header before its passages, in one file."""
+    from folioscope.queries import inputs
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}.{j}" for j in range(61 + i % 120)) if i % 50 else None) for i in range(600)], "doc_id bigint, text string")
+    seen = []
+    monkeypatch.setattr(inputs, "_space", lambda s, name, made=inputs._space: seen.append(made(s, name)) or seen[-1])
+    got = inputs._jsonl(spark, docs)
+    want = {(f"_docs/D{i}", k, len(ws)) for i in range(600) if i % 50 for k, ws in enumerate([range(61 + i % 120)[a : a + 60] for a in range(0, 61 + i % 120, 60)])}
+    assert {(r._id, r.seq, r.n_words) for r in got.collect()} == want and got.count() == len(want)
+    lines = spark.read.option("recursiveFileLookup", True).text(seen[0]).selectExpr("_metadata.file_name AS f", "value")
+    files = lines.groupBy("f").agg(F.collect_list("value").alias("v")).collect()
+    assert len(files) < 60
+    left = {}
+    for line in (json.loads(x) for r in files for x in r.v):
+        if "seq" not in line:
+            assert not any(left.values())
+            left = {line["_id"]: line["_n_passages"]}
+        else:
+            left[line["_id"]] -= 1
+
+
+def test_folders_of_single_texts_come_back(spark, tmp_path):
+    p = spark.createDataFrame([("_a/X1", 0, "one two", 2), ("_a/X1", 1, "three", 1), ("_b/Y", 0, "four", 1)], "_id string, seq bigint, text string, n_words int")
+    W.passages_jsonl(p, str(tmp_path / "out"))
+    got = R.passages_from_jsonl(spark, str(tmp_path / "out/*/*.txt")).select(*p.columns)
+    assert sorted(got.collect()) == sorted(p.collect()) and len(list((tmp_path / "out").glob("slug=*"))) == 2
